@@ -1,7 +1,7 @@
 """Filling missing values from statistics of the column.
 
-A statistic is a scalar subquery: Spark computes it once and no value passes through
-the driver.
+Statistics are fitted first, all of one kind in one pass; they are a few values per
+column, which then enter the plan as constants.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelab.operators.ordered import mode_value, quantile_values
+from storelab.operators.ordered import column_means, column_modes, column_quantiles
 
 
 def median(df: DataFrame, column: str) -> Column:
-    return quantile_values(df, column, [0.5])[0]
+    return column_quantiles(df, {column: F.col(column)}, [0.5])[column][0]
 
 
 def mean(df: DataFrame, column: str) -> Column:
-    return df.agg(F.avg(f"`{column}`").alias("m")).select("m").scalar()
+    return column_means(df, [column])[column]
 
 
 def fill_where(df: DataFrame, column: str, condition: Column, value: Column) -> DataFrame:
@@ -36,25 +36,25 @@ def zeros_to_mean(df: DataFrame, column: str) -> DataFrame:
     return fill_where(df, column, F.col(column) == 0, mean(df, column))
 
 
-def nulls_to_median(df: DataFrame, column: str) -> DataFrame:
-    return fill_where(df, column, F.col(column).isNull(), median(df, column))
+def nulls_to_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NULLs become the column median; one pass computes all medians."""
+    q = column_quantiles(df, {c: F.col(f"`{c}`") for c in columns}, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), q[c][0]) for c in columns})
 
 
 def nulls_to_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULLs become the column mean; one pass computes all means."""
-    stats = df.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)])
-    fills = {c: F.coalesce(F.col(f"`{c}`"), stats.select(f"m{i}").scalar())
-             for i, c in enumerate(columns)}
-    return df.withColumns(fills)
+    means = column_means(df, columns)
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), means[c]) for c in columns})
 
 
-def nulls_to_mode(df: DataFrame, column: str) -> DataFrame:
-    """NULLs become the most frequent value, the smallest one on ties."""
-    return fill_where(df, column, F.col(column).isNull(), mode_value(df, column))
+def nulls_to_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NULLs become the most frequent value, the smallest one on ties (as text); one pass."""
+    modes = column_modes(df, {c: F.col(f"`{c}`") for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), modes[c].cast(df.schema[c].dataType))
+                           for c in columns})
 
 
-def flagged_to_medians(df: DataFrame, columns: Sequence[str], flag: Column) -> DataFrame:
-    """On flagged rows every column becomes its median over the other rows."""
-    others = df.where(~F.coalesce(flag, F.lit(False)))
-    fills = {c: F.when(flag, median(others, c)).otherwise(F.col(f"`{c}`")) for c in columns}
-    return df.withColumns(fills)
+def flagged_to_null(df: DataFrame, columns: Sequence[str], flag: Column) -> DataFrame:
+    """Flagged rows lose their values, so that the statistics skip them."""
+    return df.withColumns({c: F.when(F.coalesce(~flag, F.lit(True)), F.col(f"`{c}`")) for c in columns})

@@ -102,10 +102,33 @@ def _ranked_quantiles(weights: DataFrame, probs: Sequence[float], by: list[str])
     return upto.groupBy(*by).agg(F.array(*picks).alias("q"))
 
 
-def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[Column]:
-    """The quantiles of a whole column as scalar subqueries."""
-    q = quantiles(df, value, probs)
-    return [q.select(F.col("q")[i].alias("q")).scalar() for i in range(len(probs))]
+def long_form(df: DataFrame, columns: dict[str, Column], cast: str) -> DataFrame:
+    """Rows (feature, value) of several columns, missing values left out."""
+    items = [F.struct(F.lit(n).alias("feature"), c.cast(cast).alias("value"))
+             for n, c in columns.items()]
+    return df.select(F.explode(F.array(*items)).alias("x")).select("x.*").where("value is not null")
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column],
+                     probs: Sequence[float]) -> dict[str, list[Column]]:
+    """Quantiles of several columns from one pass, fitted: one row per column is read
+    and its values enter later plans as constants."""
+    rows = quantiles(long_form(df, columns, "double"), "value", probs, ["feature"]).collect()
+    found = {r.feature: list(r.q) for r in rows}
+    return {n: [F.lit(q).cast("double") for q in found.get(n, [None] * len(probs))] for n in columns}
+
+
+def column_modes(df: DataFrame, columns: dict[str, Column]) -> dict[str, Column]:
+    """Most frequent value, as text, of several columns from one pass, fitted likewise."""
+    rows = mode_rows(long_form(df, columns, "string"), "value", ["feature"]).collect()
+    found = {r.feature: r.top for r in rows}
+    return {n: F.lit(found.get(n)).cast("string") for n in columns}
+
+
+def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Means of several columns from one pass, fitted likewise."""
+    row = df.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: F.lit(row[i]).cast("double") for i, c in enumerate(columns)}
 
 
 def mode_rows(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:
@@ -115,7 +138,3 @@ def mode_rows(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> Dat
     best = F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("top")))
     return (counts.groupBy(*by).agg(best.alias("b"))
             .select(*by, F.col("b.top").alias("top"), (-F.col("b.k")).alias("freq")))
-
-
-def mode_value(df: DataFrame, value: str | Column) -> Column:
-    return mode_rows(df, value).select("top").scalar()

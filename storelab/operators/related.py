@@ -23,15 +23,13 @@ def _listed(df: DataFrame, style: str) -> DataFrame:
 def _attach(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Put statistics of a list back on the rows that hold it.
 
-    Empty lists have no statistics, so they stay out of the join: as one frequent
-    value they would all go to the same task.
+    Empty lists have no statistics. As one frequent value they would all go to the same
+    task, so each such row joins on a key of its own that matches nothing.
     """
     empty = F.col("similarApps").isNull() | F.trim("similarApps").isin("", "[]")
-    with_list = df.where(~empty).join(
-        stats.withColumnRenamed("list", "similarApps"), "similarApps", "left")
-    without = df.where(empty).select("*", *[
-        F.lit(None).cast(f.dataType).alias(f.name) for f in stats.schema.fields if f.name != "list"])
-    return with_list.unionByName(without)
+    key = F.when(empty, F.concat(F.lit("\0"), F.xxhash64("appId").cast("string"))).otherwise(F.col("similarApps"))
+    return (df.withColumn("_list", key)
+            .join(stats.withColumnRenamed("list", "_list"), "_list", "left").drop("_list"))
 
 
 def similar_price_stats(df: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
@@ -71,14 +69,14 @@ def similar_avg_price(df: DataFrame, catalogue: DataFrame | None = None,
     """Average price of the listed apps; an id named twice counts twice.
 
     Ids that are unknown, or that the catalogue holds more than once, are skipped;
-    NULL when none is left.
+    NULL when none is left. Averages keep 9 digits.
     """
     catalogue = df if catalogue is None else catalogue
     prices = (catalogue.groupBy(F.col("appId").alias("id"))
               .agg(F.count("*").alias("n"), F.max("price").alias("price"))
               .where("n = 1 and price is not null").select("id", "price"))
     stats = (_listed(df, "strip").join(prices, "id").groupBy("list")
-             .agg((F.sum(F.col("price") * F.col("times")) / F.sum("times")).alias(name)))
+             .agg(F.round(F.sum(F.col("price") * F.col("times")) / F.sum("times"), 9).alias(name)))
     return _attach(df, stats)
 
 

@@ -14,9 +14,13 @@ QUARTILES = [0.25, 0.5, 0.75]
 
 
 def price_cuts(df: DataFrame, column: str = "price", by: Sequence[str] = ()) -> DataFrame:
-    """Quartile cuts, one row per group: columns ``by``, q25, q50, q75."""
+    """Quartile cuts, one row per group: columns ``by``, q25, q50, q75.
+
+    Cuts keep 9 digits, as averages that are compared with them do, so that ties do not
+    hang on the order of additions.
+    """
     q = quantiles(df, column, QUARTILES, by)
-    return q.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])])
+    return q.select(*by, *[F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(["q25", "q50", "q75"])])
 
 
 def class_of(value: Column, q25: Column, q50: Column, q75: Column) -> Column:

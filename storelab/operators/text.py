@@ -60,7 +60,7 @@ STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
           "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 # Words with an irregular stem.
-IRREGULAR = {"skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
              "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
              "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
              "exceed": "exceed", "succeed": "succeed"}
@@ -200,3 +200,13 @@ def tfidf(counts: DataFrame, docs: DataFrame, key: str, min_share: float = 0.0,
     # a document's terms are as many as its own distinct words
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, key).select(key, "token", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
+def stemmed_documents(docs: DataFrame, key: str, text: str, name: str = "tokens",
+                      stop_words: Sequence[str] = K.STOP_WORDS) -> DataFrame:
+    """The documents with their stems as an array; the order of words is not kept."""
+    bags = (stemmed_counts(docs, key, text, stop_words)
+            .select(key, F.array_repeat("token", F.col("tf").cast("int")).alias("same"))
+            .groupBy(key).agg(F.flatten(F.collect_list("same")).alias(name)))
+    return (docs.join(bags, key, "left")
+            .withColumn(name, F.coalesce(name, F.array().cast("array<string>"))))

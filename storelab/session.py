@@ -47,11 +47,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the shared folder.
+    """Compute ``df`` once, as a parquet table in the shared folder, and read it back.
 
-    Used where a plan is read several times and must give the same rows each
-    time (sampled range boundaries, repeated filters). The files outlive a lost
-    executor, unlike a local checkpoint.
+    Used for narrow intermediate results that are read several times and must be the
+    same each time (sampled range boundaries, repeated filters). The files outlive a
+    lost executor, readers take only the columns they need, and their size is known to
+    the planner.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
