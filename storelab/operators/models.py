@@ -81,9 +81,11 @@ def classifier(spec: dict, features: str = "features", prediction: str = "predic
     stages = _classifier(spec, features, seed)
     names = dict(predictionCol=prediction, rawPredictionCol=f"{features}_raw_prediction",
                  probabilityCol=f"{features}_probability")
-    for param, name in names.items():
-        if stages[-1].hasParam(param):
-            stages[-1].set(stages[-1].getParam(param), name)
+    model = stages[-1]
+    for part in [model, model.getClassifier()] if isinstance(model, OneVsRest) else [model]:
+        for param, name in names.items():
+            if part.hasParam(param):
+                part.set(part.getParam(param), name)
     return stages
 
 

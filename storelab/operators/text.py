@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelab import constants as K
+from storelab.session import cut
 
 
 def tokens(text: Column) -> Column:
@@ -28,14 +29,16 @@ def without_stop_words(items: Column, stop_words: Sequence[str] = K.STOP_WORDS)
 
 def ngrams(items: Column, low: int = 2, high: int = 4) -> Column:
     """All runs of ``low`` to ``high`` neighbouring tokens, joined by a blank."""
-    size = F.size(items)
+    def of(tokens: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
-        return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+    def every(tokens: Column) -> Column:
+        return F.concat(*[of(tokens, n) for n in range(low, high + 1)])
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    # bound to a variable, so that the tokens are worked out once per text
+    return F.get(F.transform(F.array(items), every), F.lit(0))
 
 
 # --- Porter stems -------------------------------------------------------------------
@@ -66,76 +69,79 @@ IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tyin
              "exceed": "exceed", "succeed": "succeed"}
 
 
-def _cut_end(w: Column, n: int) -> Column:
+def _cut_end(w: Column, n: int | Column) -> Column:
     return F.substring(w, F.lit(1), F.length(w) - n)
 
 
-def _suffix_step(w: Column, rules: Sequence[tuple[str, str]], condition: str) -> Column:
-    """The first suffix that fits decides; its stem must meet ``condition``."""
-    out = None
-    for suffix, new in rules:
-        stem = _cut_end(w, len(suffix))
-        value = F.when(stem.rlike(condition), F.concat(stem, F.lit(new))).otherwise(w)
-        hit = w.endswith(suffix)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(w)
-
-
-def _porter_steps() -> list:
-    """The steps, each a function from the word column to the next word column."""
-    def plural(w):
-        return (F.when(w.endswith("ies") & (F.length(w) == 4), _cut_end(w, 1))
-                .when(w.endswith("sses") | w.endswith("ies"), _cut_end(w, 2))
-                .when(w.endswith("ss"), w).when(w.endswith("s"), _cut_end(w, 1)).otherwise(w))
-
-    def past(w):
-        # a trailing '+' marks a word that lost -ed or -ing and may need repair
-        return (F.when(w.endswith("ied"), F.when(F.length(w) == 4, _cut_end(w, 1)).otherwise(_cut_end(w, 2)))
-                .when(w.endswith("eed"), F.when(_cut_end(w, 3).rlike(M0), _cut_end(w, 1)).otherwise(w))
-                .when(w.endswith("ed") & _cut_end(w, 2).rlike(VOWEL), F.concat(_cut_end(w, 2), F.lit("+")))
-                .when(w.endswith("ing") & _cut_end(w, 3).rlike(VOWEL), F.concat(_cut_end(w, 3), F.lit("+")))
-                .otherwise(w))
-
-    def repair(w):
-        s = _cut_end(w, 1)
-        fixed = (F.when(s.rlike("(at|bl|iz)$"), F.concat(s, F.lit("e")))
-                 .when(s.rlike(_DOUBLE), _cut_end(s, 1))
-                 .when(s.rlike("(ll|ss|zz)$"), s)
-                 .when(s.rlike(M1) & s.rlike(CVC), F.concat(s, F.lit("e"))).otherwise(s))
-        return F.when(w.endswith("+"), fixed).otherwise(w)
-
-    def final_y(w):
-        s = _cut_end(w, 1)
-        consonant = s.rlike("[^aeiouy]$") | s.rlike("([aeiou]y|^y)$")
-        return F.when(w.endswith("y") & (F.length(s) > 1) & consonant, F.concat(s, F.lit("i"))).otherwise(w)
-
-    def alli(w):
-        return F.when(w.endswith("alli") & _cut_end(w, 4).rlike(M0), _cut_end(w, 2)).otherwise(w)
-
-    def step_2(w):
-        logi = F.when(w.endswith("logi") & _cut_end(w, 3).rlike(M0), _cut_end(w, 1))
-        other = _suffix_step(w, STEP_2, M0)
-        return F.when(w.endswith("logi"), F.coalesce(logi, w)).otherwise(other)
-
-    def step_4(w):
-        ion = _cut_end(w, 3)
-        out = F.when(w.endswith("ion"), F.when(ion.rlike(M2) & ion.rlike("[st]$"), ion).otherwise(w))
-        for suffix in STEP_4:
-            stem = _cut_end(w, len(suffix))
-            out = out.when(w.endswith(suffix), F.when(stem.rlike(M2), stem).otherwise(w))
-        return out.otherwise(w)
-
-    def final_e(w):
-        s = _cut_end(w, 1)
-        drop = s.rlike(M2) | (s.rlike(M1) & ~s.rlike(CVC))
-        return F.when(w.endswith("e") & drop, s).otherwise(w)
-
-    def final_ll(w):
-        s = _cut_end(w, 1)
-        return F.when(w.endswith("ll") & s.rlike(M2), s).otherwise(w)
-
-    return [plural, past, repair, final_y, alli, step_2,
-            lambda w: _suffix_step(w, STEP_3, M0), step_4, final_e, final_ll]
+def _longest(suffixes: Sequence[str]) -> str:
+    """Pattern for the longest of the suffixes: a search from the left meets it first."""
+    return "(" + "|".join(suffixes) + ")$"
+
+
+def _lookup(pairs: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+
+
+def _suffix_step(df: DataFrame, name: str, rules: dict[str, str], condition: str) -> DataFrame:
+    """Replace the longest suffix that fits, if its stem meets ``condition``."""
+    w = F.col(name)
+    df = df.withColumn("_end", F.regexp_extract(w, _longest(rules), 1))
+    stem = _cut_end(w, F.length("_end"))
+    return df.withColumn(name, F.when((F.col("_end") != "") & stem.rlike(condition),
+                                      F.concat(stem, _lookup(rules, F.col("_end")))).otherwise(w))
+
+
+def _plural(w: Column) -> Column:
+    return (F.when(w.endswith("ies") & (F.length(w) == 4), _cut_end(w, 1))
+            .when(w.rlike("(sses|ies)$"), _cut_end(w, 2))
+            .when(w.endswith("s") & ~w.endswith("ss"), _cut_end(w, 1)).otherwise(w))
+
+
+def _past(w: Column) -> Column:
+    """Without -ed or -ing; a trailing '+' marks a stem that may need repair."""
+    return (F.when(w.endswith("ied"), F.when(F.length(w) == 4, _cut_end(w, 1)).otherwise(_cut_end(w, 2)))
+            .when(w.endswith("eed"), F.when(_cut_end(w, 3).rlike(M0), _cut_end(w, 1)).otherwise(w))
+            .when(w.endswith("ed") & _cut_end(w, 2).rlike(VOWEL), F.concat(_cut_end(w, 2), F.lit("+")))
+            .when(w.endswith("ing") & _cut_end(w, 3).rlike(VOWEL), F.concat(_cut_end(w, 3), F.lit("+")))
+            .otherwise(w))
+
+
+def _repair(w: Column) -> Column:
+    s = _cut_end(w, 1)
+    fixed = (F.when(s.rlike("(at|bl|iz)$"), F.concat(s, F.lit("e")))
+             .when(s.rlike(_DOUBLE), _cut_end(s, 1))
+             .when(s.rlike("(ll|ss|zz)$"), s)
+             .when(s.rlike(M1) & s.rlike(CVC), F.concat(s, F.lit("e"))).otherwise(s))
+    return F.when(w.endswith("+"), fixed).otherwise(w)
+
+
+def _final_y(w: Column) -> Column:
+    s = _cut_end(w, 1)
+    consonant = s.rlike("([^aeiouy]|[aeiou]y|^y)$")
+    return F.when(w.endswith("y") & (F.length(s) > 1) & consonant, F.concat(s, F.lit("i"))).otherwise(w)
+
+
+def _alli(w: Column) -> Column:
+    return F.when(w.endswith("alli") & _cut_end(w, 4).rlike(M0), _cut_end(w, 2)).otherwise(w)
+
+
+def _logi(w: Column) -> Column:
+    return F.when(w.endswith("logi") & _cut_end(w, 3).rlike(M0), _cut_end(w, 1)).otherwise(w)
+
+
+def _ion(w: Column) -> Column:
+    stem = _cut_end(w, 3)
+    return F.when(w.rlike("[st]ion$") & stem.rlike(M2), stem).otherwise(w)
+
+
+def _final_e(w: Column) -> Column:
+    s = _cut_end(w, 1)
+    return F.when(w.endswith("e") & (s.rlike(M2) | (s.rlike(M1) & ~s.rlike(CVC))), s).otherwise(w)
+
+
+def _final_ll(w: Column) -> Column:
+    s = _cut_end(w, 1)
+    return F.when(w.endswith("ll") & s.rlike(M2), s).otherwise(w)
 
 
 def add_stem(df: DataFrame, word: str, name: str = "stem") -> DataFrame:
@@ -145,12 +151,19 @@ def add_stem(df: DataFrame, word: str, name: str = "stem") -> DataFrame:
     Words of one or two letters stay as they are.
     """
     out = df.withColumn(name, F.lower(F.col(word)))
-    for step in _porter_steps():
+    for step in (_plural, _past, _repair, _final_y, _alli, _logi):
+        out = out.withColumn(name, step(F.col(name)))
+    out = _suffix_step(out, name, dict(STEP_2), M0)
+    out = _suffix_step(out, name, dict(STEP_3), M0)
+    # -ion has a condition of its own and shares its end with no other suffix
+    before = F.col("_before")
+    out = _suffix_step(out.withColumn("_before", F.col(name)), name, {s: "" for s in STEP_4}, M2)
+    out = out.withColumn(name, F.when(F.col(name) == before, _ion(before)).otherwise(F.col(name)))
+    for step in (_final_e, _final_ll):
         out = out.withColumn(name, step(F.col(name)))
-    irregular = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
     lower = F.lower(F.col(word))
-    return out.withColumn(name, F.when(F.length(lower) <= 2, lower).otherwise(
-        F.coalesce(F.try_element_at(irregular, lower), F.col(name))))
+    return out.drop("_end", "_before").withColumn(
+        name, F.when(F.length(lower) <= 2, lower).otherwise(F.coalesce(_lookup(IRREGULAR, lower), F.col(name))))
 
 
 def vocabulary(docs: DataFrame, text: str) -> DataFrame:
@@ -176,7 +189,8 @@ def stemmed_counts(docs: DataFrame, key: str, text: str,
     """Rows (key, token, tf) over stems; stop words go after stemming, so a stop word
     whose stem differs stays in."""
     counts = term_counts(docs, key, words(F.col(text))).withColumnRenamed("token", "word")
-    stems = add_stem(counts.select("word").distinct(), "word")
+    # written once: a filter on the stem would otherwise be pushed into every step
+    stems = cut(add_stem(counts.select("word").distinct(), "word"))
     return (counts.join(stems, "word").where(~F.col("stem").isin(*stop_words))
             .groupBy(key, F.col("stem").alias("token")).agg(F.sum("tf").alias("tf")))
 
