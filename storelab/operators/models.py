@@ -232,15 +232,12 @@ def limited(spec: dict, trees: int | None = None, depth: int | None = None) -> d
 
 def dummy_predictions(df: DataFrame, target: str, key: str, seed: int = 0) -> DataFrame:
     """A class drawn by class share, from a hash of the key."""
-    shares = class_balance(df, target).agg(F.array_sort(F.collect_list(F.struct("label", "share"))).alias("s"))
-    u = share_of(key, seed)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast(df.schema[target].dataType).alias("pick"))
-
-    def step(acc, x):
-        total = acc["sum"] + x["share"]
-        hit = acc["pick"].isNull() & (u < total)
-        return F.struct(total.alias("sum"), F.when(hit, x["label"]).otherwise(acc["pick"]).alias("pick"))
-
-    picked = F.aggregate(shares.select("s").scalar(), start, step)["pick"]
-    last = df.agg(F.max(target).alias("m")).select("m").scalar()
-    return df.withColumn("y_pred", F.coalesce(picked, last))
+    # one row per class
+    counts = class_balance(df, target).orderBy("label").collect()
+    total, upto, pick = sum(r["count"] for r in counts), 0, None
+    for r in counts[:-1]:
+        upto += r["count"]
+        below = share_of(key, seed) < upto / total
+        pick = F.when(below, r["label"]) if pick is None else pick.when(below, r["label"])
+    last = F.lit(counts[-1]["label"]) if counts else F.lit(None)
+    return df.withColumn("y_pred", last if pick is None else pick.otherwise(last))
