@@ -62,6 +62,7 @@ class TfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Default
             counter = HashingTF(inputCol=get("inputCol"), outputCol=tf, numFeatures=get("hashed"),
                                 binary=get("binary"))
         else:
+            _check_vocabulary(dataset, get("inputCol"), get("minDF"), get("maxDF"))
             counter = CountVectorizer(inputCol=get("inputCol"), outputCol=tf, binary=get("binary"),
                                       minDF=_share(get("minDF")), maxDF=_share(get("maxDF"))).fit(dataset)
         idf = IDF(inputCol=tf, outputCol=raw).fit(counter.transform(dataset))
@@ -70,6 +71,14 @@ class TfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Default
                               Normalizer(inputCol=raw, outputCol=out, p=2.0)])
 
 
+def _check_vocabulary(docs: DataFrame, column: str, low: float, high: float) -> None:
+    """A clear error when no token lies within the document shares."""
+    from storelab.operators.text import doc_frequency
+    pairs = docs.select(F.explode(F.array_distinct(column)).alias("token"))
+    if doc_frequency(pairs, docs, low, high).limit(1).count() == 0:
+        raise ValueError(f"no token is in {low} to {high} of the documents; widen the limits")
+
+
 def _share(value: float) -> float:
     """A share just below 1, since a limit of 1.0 would be read as one document."""
     return min(value, 0.9999999999)
@@ -195,20 +204,21 @@ class TextPrediction(Estimator):
 
 
 def pipeline(spec: dict, numeric: Sequence[str] = tuple(K.LEARN_NUMERIC),
-             categorical: Sequence[str] = (), text_trees: int | None = None) -> Pipeline:
+             categorical: Sequence[str] = (), text_model: dict | None = None,
+             text_limits: dict | None = None) -> Pipeline:
     """Pipeline of a spec whose ``features`` is ``numeric``, ``text`` or ``all``.
 
     ``all`` first adds the prediction of the text model; text runs read the column
-    ``tokens``. ``text_trees`` sets the size of that text model.
+    ``tokens``. ``text_model`` and ``text_limits`` replace the parameters kept for it.
     """
     kind = spec.get("features", "numeric")
     if kind == "text":
         front = [TfIdf(minDF=spec.get("min_df", 0.25), maxDF=spec.get("max_df", 0.75),
                        binary=spec.get("binary", False))]
     elif kind == "all":
-        text = dict(kind="gbt", rate=0.1, trees=text_trees or 100, depth=7 if text_trees is None else 3)
-        front = [TextPrediction([text]),
-                 *numeric_stages([*numeric, "textFeaturePrediction"], categorical)]
+        predictor = TextPrediction(tfidf=text_limits) if text_model is None else \
+            TextPrediction([text_model], text_limits)
+        front = [predictor, *numeric_stages([*numeric, predictor.name], categorical)]
     else:
         front = numeric_stages(numeric, categorical)
     return Pipeline(stages=[*front, *classifier(spec)])
@@ -220,13 +230,13 @@ def category_spec(category: str) -> dict:
     return dict(kind="gbt", features="all", rate=rate, depth=depth, subset=subset, trees=trees)
 
 
-def limited(spec: dict, trees: int | None = None, depth: int | None = None) -> dict:
-    """The spec with at most this many trees and levels, for quick runs on small data."""
+def limited(spec: dict, trees: int | None = None, depth: int | None = None,
+            iterations: int | None = None) -> dict:
+    """The spec with at most this many trees, levels and iterations, for quick runs on small data."""
     out = dict(spec)
-    if trees is not None and "trees" in out:
-        out["trees"] = min(out["trees"], trees)
-    if depth is not None and "depth" in out:
-        out["depth"] = min(out["depth"], depth)
+    for name, most in (("trees", trees), ("depth", depth), ("iterations", iterations)):
+        if most is not None and name in out:
+            out[name] = min(out[name], most)
     return out
 
 

@@ -79,13 +79,15 @@ def model_table(learn: DataFrame, folds: int = 10, with_tokens: bool = True,
 CATEGORICAL = ["installs", "contentRating", "category_name"]
 
 
-def build(spec: dict, category: str | None = None, text_trees: int | None = None) -> Pipeline:
+def build(spec: dict, category: str | None = None, text_model: dict | None = None,
+          text_limits: dict | None = None) -> Pipeline:
     """Pipeline of a learning model; category runs leave out installs and content rating."""
-    return models.pipeline(spec, K.LEARN_NUMERIC, CATEGORICAL if category is None else [], text_trees)
+    return models.pipeline(spec, K.LEARN_NUMERIC, CATEGORICAL if category is None else [],
+                           text_model, text_limits)
 
 
 def train_run(table: DataFrame, searches: dict[str, dict] | None = None, folds: int = 10,
-              category: str | None = None, text: bool = True, text_trees: int | None = None) -> DataFrame:
+              category: str | None = None, text: bool = True, **text_options) -> DataFrame:
     """Tune each algorithm, record its best candidate and the dummy: one row per search."""
     grids = {n: GRIDS[n] for n in ("forest_numeric", "gradient_numeric")} if searches is None else searches
     results = None
@@ -94,7 +96,7 @@ def train_run(table: DataFrame, searches: dict[str, dict] | None = None, folds:
         if text and "features" not in spec:
             spec["features"] = "all"
         candidates = [{**spec, **c} for c in tuning.grid(options)]
-        found = tuning.search(table, lambda c: build(c, category, text_trees), candidates, folds)
+        found = tuning.search(table, lambda c: build(c, category, **text_options), candidates, folds)
         row = tuning.best_candidate(found).withColumn("model", F.lit(name))
         results = scoreboard.append_results(results, row)
     drawn = models.dummy_predictions(table, "price_class", "appId").select(
@@ -111,23 +113,23 @@ def train_run(table: DataFrame, searches: dict[str, dict] | None = None, folds:
 
 def full_set_models(table: DataFrame, folds: int = 10, names: Sequence[str] | None = None,
                     trees: int | None = None, depth: int | None = None,
-                    text_trees: int | None = None) -> DataFrame:
+                    iterations: int | None = None, **text_options) -> DataFrame:
     """Scores of the models kept for the whole set, from out-of-fold predictions."""
     out = None
     for name in names or K.FULL_SET_MODELS:
-        spec = models.limited(K.FULL_SET_MODELS[name], trees, depth)
-        preds = tuning.cross_val_predict(table, lambda: build(spec, None, text_trees), folds)
+        spec = models.limited(K.FULL_SET_MODELS[name], trees, depth, iterations)
+        preds = tuning.cross_val_predict(table, lambda: build(spec, None, **text_options), folds)
         rows = scoreboard.score_rows(preds.withColumn("Category", F.lit("all"))).withColumn("model", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def category_models(table: DataFrame, folds: int = 10, min_rows: int = 100, trees: int | None = None,
-                    depth: int | None = None, text_trees: int | None = None) -> DataFrame:
+                    depth: int | None = None, **text_options) -> DataFrame:
     """Scores of the model of each category; cuts and folds are those of the category."""
     def run(category: str, rows: DataFrame) -> DataFrame:
         spec = models.limited(models.category_spec(category), trees, depth)
-        preds = tuning.cross_val_predict(rows, lambda: build(spec, category, text_trees), folds)
+        preds = tuning.cross_val_predict(rows, lambda: build(spec, category, **text_options), folds)
         return scoreboard.score_rows(preds.withColumn("Category", F.lit(category)))
 
     scores = tuning.per_category(table, run, "category", min_rows)

@@ -250,14 +250,19 @@ def train_predict_price(spark, sf_dir):
     return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(price_as_class=False, depth=3))
 
 
+SMALL_TEXT = dict(kind="tree", depth=3)
+
+
 @query("full_set_models")
 def full_set_models(spark, sf_dir):
-    return jobs.full_set_models(_folded(model_table(spark, sf_dir), 2), 2, trees=2, depth=2, text_trees=2)
+    return jobs.full_set_models(_folded(model_table(spark, sf_dir), 2), 2, trees=2, depth=2, iterations=10,
+                                text_model=SMALL_TEXT)
 
 
 @query("category_models")
 def category_models(spark, sf_dir):
-    return jobs.category_models(category_table(spark, sf_dir), 2, trees=2, depth=2, text_trees=2)
+    return jobs.category_models(category_table(spark, sf_dir), 2, trees=2, depth=2, text_model=SMALL_TEXT,
+                                text_limits=dict(minDF=0.05, maxDF=0.95))
 
 
 @query("model_roundtrip")
