@@ -133,9 +133,12 @@ def ranking_label(c: Column) -> Column:
 
 def reviews_per_star(c: Column) -> Column:
     """Counts for one to five stars from ``[{"1":n},...,{"5":n}]``, as array<bigint>."""
-    entries = F.from_json(c, _STAR_SCHEMA)
-    counts = [F.get(entries, F.lit(i))[str(i + 1)] for i in range(5)]
-    return F.when(entries.isNotNull(), F.array(*counts))
+    def counts(entries: Column) -> Column:
+        items = F.array(*[F.get(entries, F.lit(i))[str(i + 1)] for i in range(5)])
+        return F.when(entries.isNotNull(), items)
+
+    # bound to a variable, so that the text is read once
+    return F.get(F.transform(F.array(F.from_json(c, _STAR_SCHEMA)), counts), F.lit(0))
 
 
 def star_share(count: Column, total: Column) -> Column:

@@ -191,7 +191,7 @@ def stemmed_counts(docs: DataFrame, key: str, text: str,
     counts = term_counts(docs, key, words(F.col(text))).withColumnRenamed("token", "word")
     # written once: a filter on the stem would otherwise be pushed into every step
     stems = cut(add_stem(counts.select("word").distinct(), "word"))
-    return (counts.join(stems, "word").where(~F.col("stem").isin(*stop_words))
+    return (counts.join(stems.hint("shuffle_hash"), "word").where(~F.col("stem").isin(*stop_words))
             .groupBy(key, F.col("stem").alias("token")).agg(F.sum("tf").alias("tf")))
 
 
@@ -210,7 +210,8 @@ def tfidf(counts: DataFrame, docs: DataFrame, key: str, min_share: float = 0.0,
     idf = (doc_frequency(counts, docs, min_share, max_share)
            .select("token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
     tf = F.lit(1.0) if binary else F.col("tf")
-    raw = counts.join(idf, "token").select(key, "token", (tf * F.col("idf")).alias("raw"))
+    # one row per token, so the hashed side is small in every partition and never skewed
+    raw = counts.join(idf.hint("shuffle_hash"), "token").select(key, "token", (tf * F.col("idf")).alias("raw"))
     # a document's terms are as many as its own distinct words
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, key).select(key, "token", (F.col("raw") / F.col("norm")).alias("weight"))

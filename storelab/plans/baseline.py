@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelab.operators import clean, impute, related, scoreboard, target
+from storelab.session import cut
 
 SOURCE = ["appId", "price", "category", "similarApps"]
 ALL = "all"
@@ -15,7 +16,8 @@ def priced_listings(apps: DataFrame) -> DataFrame:
     """Listings with a price, an upper-case category and the related average price."""
     df = clean.drop_sentinel(apps, "price", 0.0).withColumn("category", F.upper("category"))
     df = impute.nulls_to_modes(df, ["category"])
-    return related.similar_avg_price(df).dropna(subset=["similarAppsAvgPrice"]).drop("similarApps")
+    df = related.similar_avg_price(df).dropna(subset=["similarAppsAvgPrice"])
+    return df.select("appId", "price", "category", "similarAppsAvgPrice")
 
 
 def baseline_predictions(listings: DataFrame, min_rows: int = 100) -> DataFrame:
@@ -34,4 +36,4 @@ def baseline_predictions(listings: DataFrame, min_rows: int = 100) -> DataFrame:
 
 def baseline_scoreboard(apps: DataFrame, min_rows: int = 100) -> DataFrame:
     """Scores of the baseline per category."""
-    return scoreboard.score_rows(baseline_predictions(priced_listings(apps), min_rows))
+    return scoreboard.score_rows(baseline_predictions(cut(priced_listings(apps)), min_rows))

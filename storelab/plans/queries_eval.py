@@ -8,7 +8,7 @@ from storelab.operators import evaluate, scoreboard
 from storelab.plans.baseline import SOURCE, baseline_predictions, baseline_scoreboard, priced_listings
 from storelab.plans.queries_join import class_sql
 from storelab.plans.registry import on_apps, query, r6
-from storelab.session import scratch_path
+from storelab.session import cut, scratch_path
 from storelab.sources import store
 from storelab.sources.apps import apps
 
@@ -38,7 +38,7 @@ _WEIGHTED = ("sum(f1 * support) / sum(support) f1, sum(prec * support) / sum(sup
 
 
 def predictions(spark, sf_dir):
-    return baseline_predictions(priced_listings(apps(spark, sf_dir, SOURCE)))
+    return baseline_predictions(cut(priced_listings(apps(spark, sf_dir, SOURCE))))
 
 
 def cells(spark, sf_dir):

@@ -135,8 +135,8 @@ def star_sql(i: int) -> str:
     "select \"appId\", " + ", ".join(f"{star_sql(i)} star{i}" for i in range(1, 6)) + " from apps"))
 def reviews_per_star(spark, sf_dir):
     df = apps(spark, sf_dir, ["appId", "reviewsPerStarRating"])
-    n = parse.reviews_per_star(F.col("reviewsPerStarRating"))
-    return df.select("appId", *[n[i].cast("double").alias(f"star{i + 1}") for i in range(5)])
+    df = df.select("appId", parse.reviews_per_star(F.col("reviewsPerStarRating")).alias("n"))
+    return df.select("appId", *[F.col("n")[i].cast("double").alias(f"star{i + 1}") for i in range(5)])
 
 
 @query("star_shares", on_apps(
@@ -145,9 +145,9 @@ def reviews_per_star(spark, sf_dir):
     + f" from (select *, {number('\"totalNrOfReviews\"')} t from apps)"))
 def star_shares(spark, sf_dir):
     df = apps(spark, sf_dir, ["appId", "reviewsPerStarRating", "totalNrOfReviews"])
-    n = parse.reviews_per_star(F.col("reviewsPerStarRating"))
-    total = parse.to_float(F.col("totalNrOfReviews"))
-    return df.select("appId", *[F.round(parse.star_share(n[i], total), 6).alias(f"share{i + 1}")
+    df = df.select("appId", parse.reviews_per_star(F.col("reviewsPerStarRating")).alias("n"),
+                   parse.to_float(F.col("totalNrOfReviews")).alias("total"))
+    return df.select("appId", *[F.round(parse.star_share(F.col("n")[i], F.col("total")), 6).alias(f"share{i + 1}")
                                 for i in range(5)])
 
 
@@ -156,8 +156,8 @@ def star_shares(spark, sf_dir):
     + r""" from (select "appId", regexp_extract_all("reviewsPerStarRating", ':(\d*)\}', 1) h from apps)"""))
 def review_counts(spark, sf_dir):
     df = apps(spark, sf_dir, ["appId", "reviewsPerStarRating"])
-    n = parse.review_counts(F.col("reviewsPerStarRating"))
-    return df.select("appId", *[n[i].alias(f"star{i + 1}") for i in range(5)])
+    df = df.select("appId", parse.review_counts(F.col("reviewsPerStarRating")).alias("n"))
+    return df.select("appId", *[F.col("n")[i].alias(f"star{i + 1}") for i in range(5)])
 
 
 @query("similar_ids", on_apps(

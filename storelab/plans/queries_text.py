@@ -13,24 +13,24 @@ from storelab.operators.split import stratified_folds
 from storelab.plans.registry import query, r6
 from storelab.session import scratch_path
 from storelab.sources import store
-from storelab.sources.apps import table
+from storelab.sources.apps import spread, table
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in K.STOP_WORDS)
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query("tokenize", f"select doc_id, len(t) n_tokens, len(list_distinct(t)) n_distinct, md5(array_to_string(t, ' ')) tokens_md5 "
        f"from (select doc_id, {_TOKENS} t from documents)")
 def tokenize(spark, sf_dir):
-    t = text.tokens(F.col("text"))
-    return documents(spark, sf_dir).select(
-        "doc_id", F.size(t).cast("bigint").alias("n_tokens"),
-        F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"),
-        F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    split = documents(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return split.select(
+        "doc_id", F.size("t").cast("bigint").alias("n_tokens"),
+        F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"),
+        F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
 _KEPT = f"list_filter({_TOKENS}, lambda w: w not in ({_STOP}))"
@@ -39,9 +39,10 @@ _KEPT = f"list_filter({_TOKENS}, lambda w: w not in ({_STOP}))"
 @query("stop_words", f"select doc_id, len(t) n_tokens, md5(array_to_string(t, ' ')) tokens_md5 "
        f"from (select doc_id, {_KEPT} t from documents)")
 def stop_words(spark, sf_dir):
-    t = text.without_stop_words(text.tokens(F.col("text")))
-    return documents(spark, sf_dir).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"),
-                                           F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    kept = documents(spark, sf_dir).select(
+        "doc_id", text.without_stop_words(text.tokens(F.col("text"))).alias("t"))
+    return kept.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
+                       F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
 def _grams_sql(n: int) -> str:

@@ -36,8 +36,8 @@ STARS = [f"{i + 1}starReviews" for i in range(5)]
 
 
 def add_review_counts(df: DataFrame) -> DataFrame:
-    counts = parse.review_counts(F.col("reviewsPerStarRating"))
-    return df.withColumns({c: counts[i] for i, c in enumerate(STARS)})
+    df = df.withColumn("_counts", parse.review_counts(F.col("reviewsPerStarRating")))
+    return df.withColumns({c: F.col("_counts")[i] for i, c in enumerate(STARS)}).drop("_counts")
 
 
 def hide_empty_reviews(df: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def known_version(column: str) -> Column:
 
 def add_version_numbers(df: DataFrame, top: Column, column: str = "requiredAndroidVersion") -> DataFrame:
     """Major and minor number; unknown versions take ``top``, the most frequent ``d.d``."""
-    parts = parse.version_major_minor(F.coalesce(known_version(column), top))
-    return df.withColumns({f"{column}_major": parts["major"], f"{column}_minor": parts["minor"]})
+    df = df.withColumn("_parts", parse.version_major_minor(F.coalesce(known_version(column), top)))
+    return df.withColumns({f"{column}_major": F.col("_parts.major"),
+                           f"{column}_minor": F.col("_parts.minor")}).drop("_parts")
 
 
 def learn_table(apps: DataFrame, as_of: date | str, author_more_than: int = 10) -> DataFrame:
@@ -102,9 +103,9 @@ def feature_set(table: DataFrame, name: str, check: bool = True) -> DataFrame:
 
 
 def add_star_shares(df: DataFrame, total: str) -> DataFrame:
-    counts = parse.reviews_per_star(F.col("reviewsPerStarRating"))
-    return df.withColumns({f"{i + 1}_star_reviews": parse.star_share(counts[i], F.col(total))
-                           for i in range(5)})
+    df = df.withColumn("_counts", parse.reviews_per_star(F.col("reviewsPerStarRating")))
+    return df.withColumns({f"{i + 1}_star_reviews": parse.star_share(F.col("_counts")[i], F.col(total))
+                           for i in range(5)}).drop("_counts")
 
 
 def report_columns(apps: DataFrame, as_of: date | str, author_more_than: int = 1,

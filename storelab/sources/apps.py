@@ -80,6 +80,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out to all cores by a unique key when the scan has fewer splits than that.
+
+    A large table has many splits and is left alone; a small file with one row group
+    would otherwise keep one core busy with all text work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def apps(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ALL) -> DataFrame:
     """The view with only the joins its columns need, so scans stay narrow."""
     df = table(spark, sf_dir, "part")
