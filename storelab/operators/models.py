@@ -10,7 +10,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import (Binarizer, CountVectorizer, ElementwiseProduct, HashingTF, IDF,
-                                Normalizer, StringIndexer, VectorAssembler)
+                                Normalizer, SQLTransformer, StringIndexer, VectorAssembler)
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelab import constants as K
+from storelab.operators.ordered import mode_rows
 from storelab.operators.profile import class_balance
 from storelab.operators.split import share_of
+from storelab.operators.text import doc_frequency
 
 MAX_BINS = 256
 
@@ -62,7 +64,9 @@ class TfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Default
             counter = HashingTF(inputCol=get("inputCol"), outputCol=tf, numFeatures=get("hashed"),
                                 binary=get("binary"))
         else:
-            _check_vocabulary(dataset, get("inputCol"), get("minDF"), get("maxDF"))
+            if not has_tokens(dataset, get("inputCol"), get("minDF"), get("maxDF")):
+                raise ValueError(f"no token is in {get('minDF')} to {get('maxDF')} of the documents; "
+                                 "widen the limits")
             counter = CountVectorizer(inputCol=get("inputCol"), outputCol=tf, binary=get("binary"),
                                       minDF=_share(get("minDF")), maxDF=_share(get("maxDF"))).fit(dataset)
         idf = IDF(inputCol=tf, outputCol=raw).fit(counter.transform(dataset))
@@ -71,12 +75,10 @@ class TfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Default
                               Normalizer(inputCol=raw, outputCol=out, p=2.0)])
 
 
-def _check_vocabulary(docs: DataFrame, column: str, low: float, high: float) -> None:
-    """A clear error when no token lies within the document shares."""
-    from storelab.operators.text import doc_frequency
+def has_tokens(docs: DataFrame, column: str, low: float, high: float) -> bool:
+    """Whether any token lies within the document shares."""
     pairs = docs.select(F.explode(F.array_distinct(column)).alias("token"))
-    if doc_frequency(pairs, docs, low, high).limit(1).count() == 0:
-        raise ValueError(f"no token is in {low} to {high} of the documents; widen the limits")
+    return doc_frequency(pairs, docs, low, high).limit(1).count() > 0
 
 
 def _share(value: float) -> float:
@@ -176,16 +178,24 @@ class TextPrediction(Estimator):
     """Adds the class that a text model predicts as the column ``textFeaturePrediction``.
 
     Several candidate models may be given; the one with the best accuracy on the
-    training rows is kept.
+    training rows is kept. A subset may have no token within the limits; with
+    ``allow_empty`` every row then gets the most frequent class.
     """
 
     def __init__(self, specs: Sequence[dict] = (dict(kind="gbt", rate=0.1, trees=100, depth=7),),
-                 tfidf: dict | None = None, name: str = "textFeaturePrediction"):
+                 tfidf: dict | None = None, name: str = "textFeaturePrediction",
+                 allow_empty: bool = False):
         super().__init__()
+        self.allow_empty = allow_empty
         self.specs, self.name = [dict(s) for s in specs], name
         self.tfidf = dict(minDF=0.25, maxDF=0.6) if tfidf is None else dict(tfidf)
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
+        limits = (self.tfidf.get("minDF", 0.0), self.tfidf.get("maxDF", 1.0))
+        if self.allow_empty and not has_tokens(dataset, "tokens", *limits):
+            top = mode_rows(dataset, "label").first().top
+            return PipelineModel([SQLTransformer(
+                statement=f"SELECT *, CAST({top} AS DOUBLE) AS {self.name} FROM __THIS__")])
         front = TfIdf(outputCol="text_features", **self.tfidf).fit(dataset)
         rows = front.transform(dataset).select("label", "text_features").persist()
         try:
@@ -205,7 +215,7 @@ class TextPrediction(Estimator):
 
 def pipeline(spec: dict, numeric: Sequence[str] = tuple(K.LEARN_NUMERIC),
              categorical: Sequence[str] = (), text_model: dict | None = None,
-             text_limits: dict | None = None) -> Pipeline:
+             text_limits: dict | None = None, allow_empty: bool = False) -> Pipeline:
     """Pipeline of a spec whose ``features`` is ``numeric``, ``text`` or ``all``.
 
     ``all`` first adds the prediction of the text model; text runs read the column
@@ -216,8 +226,8 @@ def pipeline(spec: dict, numeric: Sequence[str] = tuple(K.LEARN_NUMERIC),
         front = [TfIdf(minDF=spec.get("min_df", 0.25), maxDF=spec.get("max_df", 0.75),
                        binary=spec.get("binary", False))]
     elif kind == "all":
-        predictor = TextPrediction(tfidf=text_limits) if text_model is None else \
-            TextPrediction([text_model], text_limits)
+        options = dict(tfidf=text_limits, allow_empty=allow_empty)
+        predictor = TextPrediction(**options) if text_model is None else TextPrediction([text_model], **options)
         front = [predictor, *numeric_stages([*numeric, predictor.name], categorical)]
     else:
         front = numeric_stages(numeric, categorical)

@@ -83,7 +83,7 @@ def build(spec: dict, category: str | None = None, text_model: dict | None = Non
           text_limits: dict | None = None) -> Pipeline:
     """Pipeline of a learning model; category runs leave out installs and content rating."""
     return models.pipeline(spec, K.LEARN_NUMERIC, CATEGORICAL if category is None else [],
-                           text_model, text_limits)
+                           text_model, text_limits, allow_empty=category is not None)
 
 
 def train_run(table: DataFrame, searches: dict[str, dict] | None = None, folds: int = 10,

@@ -261,8 +261,7 @@ def full_set_models(spark, sf_dir):
 
 @query("category_models")
 def category_models(spark, sf_dir):
-    return jobs.category_models(category_table(spark, sf_dir), 2, trees=2, depth=2, text_model=SMALL_TEXT,
-                                text_limits=dict(minDF=0.05, maxDF=0.95))
+    return jobs.category_models(category_table(spark, sf_dir), 2, trees=2, depth=2, text_model=SMALL_TEXT)
 
 
 @query("model_roundtrip")
