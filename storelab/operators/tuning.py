@@ -115,9 +115,10 @@ def per_category(df: DataFrame, run: Callable[[str, DataFrame], DataFrame], colu
                  rows: int = 100, workers: int = 4) -> DataFrame:
     """``run`` for every category with at least ``rows`` rows, results put together.
 
-    The frame is written once, so that each run reads its category only.
+    The frame is written once with a folder per category, so that each run reads its
+    category only.
     """
-    data = cut(df)
+    data = cut(df, [column])
     names = sorted(r[column] for r in data.groupBy(column).agg(F.count("*").alias("n"))
                    .where(F.col("n") >= rows).select(column).collect() if r[column] is not None)
     if not names:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from storelab import constants as K
 from storelab.functions import parse
-from storelab.operators import (clean, encode, evaluate, knn, models, scoreboard, select_features,
-                                split, target, text, tuning)
+from storelab.operators import (clean, encode, evaluate, knn, models, profile, related, scoreboard,
+                                select_features, split, target, text, tuning)
 from storelab.session import cut
+from storelab.sources import store
 
 # Grids of the learning runs.
 TEXT_GRID = {"min_df": [0.25, 0.4], "max_df": [0.6, 0.75]}
@@ -136,6 +137,22 @@ def category_models(table: DataFrame, folds: int = 10, min_rows: int = 100, tree
     return scores.withColumn("model", F.lit("cs_all_gradient_numeric"))
 
 
+# --- report files -------------------------------------------------------------------
+
+def write_documents(columns: DataFrame, authors: DataFrame, folder: str) -> dict[str, str]:
+    """The tables of the data report, as CSV: numeric statistics, value counts of the
+    categories, frequent authors and feature names. Gives the path of each."""
+    numeric = [c for c in ["price", *K.SCALED_COLUMNS] if c in columns.columns]
+    categories = [c for c in ["price_range_index", *K.ONE_HOT_COLUMNS, *K.ONE_HOT_NUMERIC] if c in columns.columns]
+    documents = {"numeric_stats": profile.describe_numeric(columns, numeric),
+                 "value_counts": profile.value_counts_all(columns, categories),
+                 "frequent_authors": related.author_counts(authors, 1),
+                 "columns": store.feature_columns(columns.drop(*NOT_FEATURES))}
+    for name, df in documents.items():
+        store.write_report(df, f"{folder}/{name}")
+    return {name: f"{folder}/{name}" for name in documents}
+
+
 # --- report runs --------------------------------------------------------------------
 
 NOT_FEATURES = ["appId", "similarApps", "name", "appUrl", "text", "tokens", "price", "price_range_index",

@@ -57,14 +57,15 @@ def add_version_numbers(df: DataFrame, top: Column, column: str = "requiredAndro
                            f"{column}_minor": F.col("_parts.minor")}).drop("_parts")
 
 
-def learn_table(apps: DataFrame, as_of: date | str, author_more_than: int = 10) -> DataFrame:
+def learn_table(apps: DataFrame, as_of: date | str, author_more_than: int = 10,
+                require: Sequence[str] = ()) -> DataFrame:
     """Raw listings to the typed table of the learning runs, one row per listing kept.
 
-    Rows whose date or review text is missing cannot be read and are left out. The
-    statistics scan the few columns they need; all modes share one pass, as do all
+    Rows whose date or review text is missing cannot be read and are left out, as are
+    rows without a value in a ``require`` column (such as ``binarySize``). The statistics scan the few columns they need; all modes share one pass, as do all
     medians.
     """
-    df = learn_filter(apps).dropna(subset=["lastUpdated", "reviewsPerStarRating"])
+    df = learn_filter(apps).dropna(subset=["lastUpdated", "reviewsPerStarRating", *require]).drop(*require)
     catalogue = df.select("appId", "price", "similarApps")
     df = related.frequent_author_flag(df, author_more_than, "bigCompany", F.lit(1.0))
     df = df.withColumns({

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,14 +47,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/storelab/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Compute ``df`` once, as a parquet table in the shared folder, and read it back.
 
     Used for narrow intermediate results that are read several times and must be the
     same each time (sampled range boundaries, repeated filters). The files outlive a
     lost executor, readers take only the columns they need, and their size is known to
-    the planner.
+    the planner. With ``by`` there is one folder per value, so that a filter on it reads
+    one folder.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
