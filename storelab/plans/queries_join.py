@@ -207,26 +207,27 @@ def labelled(spark, sf_dir):
 @query("select_k_best_chi2", on_apps(
     "select feature, round(sum((o - e) * (o - e) / nullif(e, 0)), 6) score from (select feature, y, sum(v) o, "
     "sum(sum(v)) over (partition by feature) * count(*) / sum(count(*)) over (partition by feature) e from long group by 1, 2) "
-    "group by 1 order by score desc, feature limit 5", *LEARN_FROM, _LABELLED, _LONG))
+    "group by 1 order by score desc nulls last, feature limit 5", *LEARN_FROM, _LABELLED, _LONG))
 def select_k_best_chi2(spark, sf_dir):
     scores = select_features.chi2_scores(labelled(spark, sf_dir), FEATURES, "price_class")
     return select_features.best_k(scores, 5).withColumn("score", r6("score"))
 
 
 @query("select_k_best_f", on_apps(
-    "select feature, round((ssb / (k - 1)) / (ssw / (n - k)), 6) score from (select feature, sum(n) n, count(*) k, "
+    "select feature, round((ssb / (k - 1)) / nullif(ssw / (n - k), 0), 6) score from (select feature, sum(n) n, count(*) k, "
     "sum(n * (m - gm) * (m - gm)) ssb, sum(w) ssw from (select feature, y, count(*) n, avg(v) m, var_pop(v) * count(*) w, "
     "sum(sum(v)) over (partition by feature) / sum(count(*)) over (partition by feature) gm from long group by 1, 2) group by 1) "
-    "order by score desc, feature limit 5", *LEARN_FROM, _LABELLED, _LONG))
+    "order by score desc nulls last, feature limit 5", *LEARN_FROM, _LABELLED, _LONG))
 def select_k_best_f(spark, sf_dir):
     scores = select_features.f_scores(labelled(spark, sf_dir), FEATURES, "price_class")
     return select_features.best_k(scores, 5).withColumn("score", r6("score"))
 
 
 @query("select_k_best_freg", on_apps(
-    "select feature, round(r * r / (1 - r * r) * (n - 2), 6) score from (select x.feature, corr(x.v, price) r, count(*) n from "
+    "select feature, round(r * r / (1 - r * r) * (n - 2), 6) score from (select x.feature, "
+    "case when min(x.v) < max(x.v) then corr(x.v, price) end r, count(*) n from "
     "(select price, unnest([" + ", ".join(f"{{'feature': '{c}', 'v': \"{c}\"::double}}" for c in FEATURES)
-    + "]) x from learn) group by 1) order by score desc, feature limit 5", *LEARN_FROM))
+    + "]) x from learn) group by 1) order by score desc nulls last, feature limit 5", *LEARN_FROM))
 def select_k_best_freg(spark, sf_dir):
     scores = select_features.f_regression_scores(cached_learn(spark, sf_dir), FEATURES, "price")
     return select_features.best_k(scores, 5).withColumn("score", r6("score"))
