@@ -167,10 +167,18 @@ def build_models(text_only: bool = False, price_as_class: bool = True, all_model
 
 
 def numeric_stages(numeric: Sequence[str], categorical: Sequence[str], output: str = "features") -> list:
-    """Categories numbered in sorted order, then one vector with the numeric columns."""
+    """Categories numbered in sorted order, then one vector with the numeric columns.
+
+    The numbers enter models as plain numbers, not as categories, so that trees split
+    them by order whatever the number of values.
+    """
     codes = [StringIndexer(inputCol=c, outputCol=f"{c}_code", stringOrderType="alphabetAsc",
                            handleInvalid="keep") for c in categorical]
-    return codes + [VectorAssembler(inputCols=[*numeric, *[f"{c}_code" for c in categorical]],
+    if categorical:
+        # an expression drops the note that marks the column as categorical
+        plain = ", ".join(f"{c}_code + 0.0D AS {c}_number" for c in categorical)
+        codes.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
+    return codes + [VectorAssembler(inputCols=[*numeric, *[f"{c}_number" for c in categorical]],
                                     outputCol=output)]
 
 
