@@ -1,7 +1,7 @@
 """Quality rules: repeated words, shortness, and divergence from language references.
 
 Each document gets a histogram of its characters by class and one of its common words.
-The references are the mean histograms of all documents of a language. A document is
+The references are the median histograms of all documents of a language. A document is
 rejected if it breaks a base rule, or if it is long enough for a stable histogram and its
 Jensen-Shannon distance to every language reference is above a threshold.
 
@@ -32,10 +32,12 @@ WORD_LIST = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_CHARS_FOR_CLASSES = 40
-MIN_WORDS_FOR_COMMON = 60
-MAX_CLASS_DISTANCE = 0.3
-MAX_COMMON_DISTANCE = 0.5
+# A short text has a noisy histogram: below these lengths there is no verdict on it, and
+# the limit on the class distance is FLOOR + SLACK / sqrt(n_words).
+MIN_WORDS_FOR_CLASSES = 40
+MIN_WORDS_FOR_COMMON = 200
+CLASS_FLOOR, CLASS_SLACK = 0.15, 0.55
+MAX_COMMON_DISTANCE = 0.325
 
 CLASSES = ["lower", "upper", "digit", "blank", "line", "sentence", "symbol", "accented",
            "two_bytes", "three_bytes", "four_bytes", "control"]
@@ -155,13 +157,15 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Mean class and common-word shares per listed language, over all its documents.
+    """Median class and common-word shares per listed language, over all its documents.
 
+    Medians, as junk must not shape a reference; they come from a sketch of bounded size.
     At most one row per language of ``COMMON_WORDS`` reaches the driver.
     """
     def shares(column: str, size: int):
         total = F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return [F.coalesce(F.avg(F.when(total > 0, F.element_at(column, i + 1) / total)), F.lit(0.0))
+        return [F.coalesce(F.percentile_approx(F.when(total > 0, F.element_at(column, i + 1) / total), 0.5, 1000),
+                           F.lit(0.0))
                 for i in range(size)]
 
     listed = measured.where(F.col("lang").isin(*COMMON_WORDS)).where(f"n_words >= {MIN_WORDS}")
@@ -188,12 +192,9 @@ def verdicts(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]
     names = [f.name for f in fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + ["class_distance double, common_distance double, base_failed boolean, kept boolean"])
-    limits = (MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON,
-              MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE)
     tables = [(np.array(a), np.array(b)) for a, b in refs.values() if sum(a) > 0]
 
     def judge(batches):
-        min_words, repeat, min_chars, min_common, class_limit, common_limit = limits
         for batch in batches:
             n = batch.num_rows
             a = batch.column("classes").flatten().to_numpy().reshape(n, -1)
@@ -201,10 +202,11 @@ def verdicts(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]
             words = batch.column("n_words").to_numpy()
             by_class = np.min([distances(a, x) for x, _ in tables], axis=0) if tables and n else np.zeros(n)
             by_common = np.min([distances(b, y) for _, y in tables], axis=0) if tables and n else np.zeros(n)
-            by_class = np.where(a.sum(axis=1) >= min_chars, by_class, 0.0) if n else by_class
-            by_common = np.where(words >= min_common, by_common, 0.0)
-            failed = (words < min_words) | (100 * batch.column("n_repeat_words").to_numpy() > repeat * words)
-            kept = ~failed & (by_class <= class_limit) & (by_common <= common_limit)
+            by_class = np.where(words >= MIN_WORDS_FOR_CLASSES, by_class, 0.0)
+            by_common = np.where(words >= MIN_WORDS_FOR_COMMON, by_common, 0.0)
+            failed = (words < MIN_WORDS) | (100 * batch.column("n_repeat_words").to_numpy() > MAX_REPEAT_PERCENT * words)
+            limit = CLASS_FLOOR + CLASS_SLACK / np.sqrt(np.maximum(words, 1))
+            kept = ~failed & (by_class <= limit) & (by_common <= MAX_COMMON_DISTANCE)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names] + [pa.array(by_class, pa.float64()), pa.array(by_common, pa.float64()),
                                                     pa.array(failed), pa.array(kept)],
