@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelab.llm import near_dedup, quality_rules
+from storelab.llm import mixing, near_dedup, quality_rules, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op2_substring_dedup", r"""
+with texts as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+windows as (
+  select doc_id, i, array_to_string(w[i:i + 49], ' ') as s
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from texts where len(w) >= 50)),
+firsts as (select s, min(doc_id) as first_id from windows group by s),
+removed as (select distinct doc_id, unnest(range(i, i + 50)) as j from windows join firsts using (s) where first_id < doc_id),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as j from texts),
+kept as (
+  select doc_id, count(*) as n_kept, string_agg(word, ' ' order by j) as t
+  from words anti join removed using (doc_id, j) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from texts left join kept using (doc_id)
+""")
+def op2_substring_dedup(spark, sf_dir):
+    """What is left of every document without passages of earlier documents."""
+    return substring_dedup.digests(documents(spark, sf_dir))
+
+
+@query("op3_sharding")
+def op3_sharding(spark, sf_dir):
+    """Shard and slot of every document in a reproducible shuffle."""
+    return sharding.sharded(documents(spark, sf_dir), shards=16, seed=20240611)
+
+
+@query("op5_mixing")
+def op5_mixing(spark, sf_dir):
+    """Passes and places of every document in the mixture."""
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark, sf_dir):
     """Base measures, divergence from the language references and the verdict."""
