@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelab.llm.graph import components
-from storelab.llm.wordkit import Hasher, Slice, binaries, group_starts, lists, mix64, slices, windows
+from storelab.llm.wordkit import Hasher, Slice, binaries, group_starts, lists, mix64, parts, slices, windows
 from storelab.session import cut
 
 SHINGLE = 5
@@ -92,7 +92,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sign(batches):
     hasher = Hasher()
-    for batch in batches:
+    for batch in parts(batches, 2048):
         sizes, rows = [], []
         for s in slices(batch.column("text")):
             sets = shingle_sets(s, hasher)
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def check(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in parts(batches, 256):
             left, right = ([x for s in slices(batch.column(c)) for x in shingle_sets(s, hasher)] for c in ("ta", "tb"))
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(left, right)):
@@ -158,7 +158,7 @@ def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b"))
 
     def check(batches):
-        for batch in batches:
+        for batch in parts(batches, 2048):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
             mask = pa.array((x == y).mean(axis=1) >= ESTIMATE)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storelab.llm import mixing, near_dedup, quality_rules, sharding, substring_dedup
+from storelab.llm import (edit_embedding, mixing, near_dedup, packing, quality_classifier, quality_rules,
+                          rollups, sharding, substring_dedup)
+from storelab.session import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +28,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    """Quality score of every document."""
+    return quality_classifier.classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op2_substring_dedup", r"""
 with texts as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
@@ -51,12 +60,49 @@ def op3_sharding(spark, sf_dir):
     return sharding.sharded(documents(spark, sf_dir), shards=16, seed=20240611)
 
 
+@query("op4_edit_fingerprint")
+def op4_edit_fingerprint(spark, sf_dir):
+    """Fingerprint of every document, and its likeness to an edited text and to the next document."""
+    return edit_embedding.edit_likeness(documents(spark, sf_dir))
+
+
 @query("op5_mixing")
 def op5_mixing(spark, sf_dir):
     """Passes and places of every document in the mixture."""
     return mixing.mixture(documents(spark, sf_dir))
 
 
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    """Sequence and offset of every token piece of every document."""
+    return packing.packed(documents(spark, sf_dir))
+
+
+@query("op8_token_rollups")
+def op8_token_rollups(spark, sf_dir):
+    """Token totals after three batches over all documents, one of them committed twice.
+
+    Batch 1 inserts every document under two tokenizer versions. Batch 2 deletes the copies
+    of a text with a smaller id. Batch 3 revises the ids of the others by the end id.
+    """
+    docs = documents(spark, sf_dir)
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    counts = cut(rollups.token_counts(docs.select("doc_id", "source", "lang", "text", digest.alias("digest"))))
+    firsts = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    marked = cut(counts.join(firsts, "digest").withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))))
+    words, ids = ("words", F.col("n_words")), ("word_bpe_49k", F.col("n_ids"))
+    inserts = rollups.changes(marked, "insert", *words).unionAll(rollups.changes(marked, "insert", *ids))
+    copies = marked.where("copy")
+    deletes = rollups.changes(copies, "delete", *words).unionAll(rollups.changes(copies, "delete", *ids))
+    revised = rollups.changes(marked.where("not copy"), "revise", ids[0], F.col("n_ids") + 1, F.col("n_ids"))
+    folder = scratch_path(spark, "rollups")
+    rollups.commit(inserts, folder, "batch-1")
+    rollups.commit(deletes, folder, "batch-2")
+    rollups.commit(deletes, folder, "batch-2")
+    rollups.commit(revised, folder, "batch-3")
+    return rollups.totals(spark, folder, ["batch-1", "batch-2", "batch-3"])
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark, sf_dir):
     """Base measures, divergence from the language references and the verdict."""

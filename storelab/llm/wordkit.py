@@ -116,6 +116,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
         i = j
 
 
+def parts(batches, rows: int):
+    """The batches, cut to at most so many rows: what is made per batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def windows(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words that lie inside one document.
 
