@@ -203,3 +203,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
                          F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the one with its smallest ``doc_id``.
+
+    Rows without ``doc_id`` stay. Of rows that share a kept ``doc_id`` one stays.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))

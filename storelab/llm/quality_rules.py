@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelab.llm.wordkit import Hasher, group_starts, mix64, slices, windows
+from storelab.llm.wordkit import Hasher, group_starts, mix64, parts, slices, windows
 from storelab.session import cut
 
 # Frequent function words of four languages.
@@ -186,35 +186,53 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
+def judged(measured: pa.RecordBatch, tables: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class distance, common-word distance, base failure and verdict of each row."""
+    n = measured.num_rows
+    a = measured.column("classes").flatten().to_numpy().reshape(n, len(CLASSES))
+    b = measured.column("common").flatten().to_numpy().reshape(n, len(WORD_LIST) + 1)
+    words = measured.column("n_words").to_numpy()
+    by_class = np.min([distances(a, x) for x, _ in tables], axis=0) if tables else np.zeros(n)
+    by_common = np.min([distances(b, y) for _, y in tables], axis=0) if tables else np.zeros(n)
+    by_class = np.where(words >= MIN_WORDS_FOR_CLASSES, by_class, 0.0)
+    by_common = np.where(words >= MIN_WORDS_FOR_COMMON, by_common, 0.0)
+    failed = (words < MIN_WORDS) | (100 * measured.column("n_repeat_words").to_numpy() > MAX_REPEAT_PERCENT * words)
+    limit = CLASS_FLOOR + CLASS_SLACK / np.sqrt(np.maximum(words, 1))
+    return by_class, by_common, failed, ~failed & (by_class <= limit) & (by_common <= MAX_COMMON_DISTANCE)
+
+
+def _tables(refs: dict[str, tuple[list[float], list[float]]]) -> list:
+    return [(np.array(a), np.array(b)) for a, b in refs.values() if sum(a) > 0 and sum(b) > 0]
+
+
 def verdicts(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """Add ``class_distance``, ``common_distance``, ``base_failed`` and ``kept``."""
     fields = [f for f in measured.schema.fields if f.name not in ("classes", "common")]
     names = [f.name for f in fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + ["class_distance double, common_distance double, base_failed boolean, kept boolean"])
-    tables = [(np.array(a), np.array(b)) for a, b in refs.values() if sum(a) > 0]
+    tables = _tables(refs)
 
     def judge(batches):
         for batch in batches:
-            n = batch.num_rows
-            a = batch.column("classes").flatten().to_numpy().reshape(n, -1)
-            b = batch.column("common").flatten().to_numpy().reshape(n, -1)
-            words = batch.column("n_words").to_numpy()
-            by_class = np.min([distances(a, x) for x, _ in tables], axis=0) if tables and n else np.zeros(n)
-            by_common = np.min([distances(b, y) for _, y in tables], axis=0) if tables and n else np.zeros(n)
-            by_class = np.where(words >= MIN_WORDS_FOR_CLASSES, by_class, 0.0)
-            by_common = np.where(words >= MIN_WORDS_FOR_COMMON, by_common, 0.0)
-            failed = (words < MIN_WORDS) | (100 * batch.column("n_repeat_words").to_numpy() > MAX_REPEAT_PERCENT * words)
-            limit = CLASS_FLOOR + CLASS_SLACK / np.sqrt(np.maximum(words, 1))
-            kept = ~failed & (by_class <= limit) & (by_common <= MAX_COMMON_DISTANCE)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array(by_class, pa.float64()), pa.array(by_common, pa.float64()),
-                                                    pa.array(failed), pa.array(kept)],
-                names + ["class_distance", "common_distance", "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(x) for x in judged(batch, tables)],
+                                             names + ["class_distance", "common_distance", "base_failed", "kept"])
 
     return measured.mapInArrow(judge, schema)
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, unchanged; rows are measured twice and never moved."""
+    tables = _tables(references(cut(measures(docs.select("doc_id", "lang", "text")))))
+
+    def keep(batches):
+        for batch in parts(batches, 2048):
+            for measured in _measure([batch.select(["text"])]):
+                yield batch.filter(pa.array(judged(measured, tables)[3], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Measures and verdict of every document (columns ``doc_id``, ``lang``, ``text``)."""
     measured = cut(measures(docs.select("doc_id", "lang", "text")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelab.llm import (edit_embedding, mixing, near_dedup, packing, quality_classifier, quality_rules,
+from storelab.llm import (edit_embedding, katz, mixing, near_dedup, packing, quality_classifier, quality_rules,
                           rollups, sharding, substring_dedup)
 from storelab.session import cut, scratch_path
 
@@ -72,6 +72,12 @@ def op5_mixing(spark, sf_dir):
     return mixing.mixture(documents(spark, sf_dir))
 
 
+@query("op6_katz_scores")
+def op6_katz_scores(spark, sf_dir):
+    """Log10 probability of every document under the backoff model and under the base."""
+    return katz.language_scores(documents(spark, sf_dir))
+
+
 @query("op7_packing")
 def op7_packing(spark, sf_dir):
     """Sequence and offset of every token piece of every document."""
