@@ -36,7 +36,7 @@ def op1_quality_classifier(spark, sf_dir):
 
 @query("op2_substring_dedup", r"""
 with texts as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 windows as (
   select doc_id, i, array_to_string(w[i:i + 49], ' ') as s
   from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from texts where len(w) >= 50)),
@@ -118,10 +118,10 @@ def op9_quality_rules(spark, sf_dir):
 @query("op10_minhash_dedup", r"""
 with recursive texts as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 shingles as (
   select distinct doc_id, unnest(case when len(w) >= 5
-    then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from texts),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
 pairs as (
