@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelab.llm.wordkit import Hasher, group_starts, mix64, slices
+from storelab.llm.wordkit import Hasher, group_starts, mix64, parts, slices
 from storelab.session import cut
 
 MAX_DISCOUNTED = 5
@@ -41,7 +41,7 @@ RANGE_PAIRS = 1_500_000
 SPLIT_LEAST = 500_000
 MAX_SPLIT = 20_000
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27BB2EE687B0B0FD)
-_LOW40 = np.uint64((1 << 40) - 1)
+_DROP, _LOW40 = np.uint64(24), np.uint64((1 << 40) - 1)
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -58,6 +58,15 @@ def expand(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
+def squeeze_rising(a: np.ndarray) -> bytes:
+    """``squeeze`` of the steps between numbers, which are small if the numbers rise."""
+    return squeeze(np.diff(a, prepend=np.zeros(1, a.dtype)))
+
+
+def expand_rising(raw: bytes) -> np.ndarray:
+    return np.cumsum(expand(raw, np.uint64), dtype=np.uint64)
+
+
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """Range of a hash; ascending hashes have ascending ranges."""
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -87,7 +96,8 @@ def blocks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array([(TaskContext.get().partitionId() << 24) + number], pa.int64()),
                  pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([flag.tolist()], pa.list_(pa.bool_())),
-                 *[pa.array([squeeze(x)], pa.binary()) for x in (n.astype(np.uint32), dictionary, trained, local)],
+                 *[pa.array([x], pa.binary()) for x in (squeeze(n.astype(np.uint32)), squeeze_rising(dictionary),
+                                                        squeeze(trained), squeeze(local))],
                  pa.array([len(local)], pa.int64()), pa.array([len(dictionary)], pa.int64())],
                 ["block", "doc_ids", "held", "sizes", "words", "trained", "tokens", "n_tokens", "n_words"])
 
@@ -118,17 +128,17 @@ def count_words(made: DataFrame, ranges: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                words, trained = expand(batch.column("words")[i].as_py(), np.uint64), expand(batch.column("trained")[i].as_py(), np.uint32)
+                words, trained = expand_rising(batch.column("words")[i].as_py()), expand(batch.column("trained")[i].as_py(), np.uint32)
                 part = _range_of(words, ranges)
                 first = group_starts(part)
                 for a, b in zip(first, np.r_[first[1:], len(part)]):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("block").slice(i, 1), pa.array([part[a]], pa.int64()),
-                         pa.array([squeeze(words[a:b])], pa.binary()), pa.array([squeeze(trained[a:b])], pa.binary())],
+                         pa.array([squeeze_rising(words[a:b])], pa.binary()), pa.array([squeeze(trained[a:b])], pa.binary())],
                         ["block", "part", "words", "trained"])
 
     def answer(key, table):
-        words = [expand(x, np.uint64) for x in table.column("words").to_pylist()]
+        words = [expand_rising(x) for x in table.column("words").to_pylist()]
         trained = [expand(x, np.uint32) for x in table.column("trained").to_pylist()]
         distinct, place = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(place, np.concatenate(trained), len(distinct)).astype(np.uint64)
@@ -184,7 +194,7 @@ class Model:
 
 def _block(row, counts) -> dict:
     """Arrays of one block with the training count of each of its words."""
-    words = expand(row["words"], np.uint64)
+    words = expand_rising(row["words"])
     total = np.concatenate([expand(x["counts"], np.uint64) for x in sorted(counts, key=lambda x: x["part"])])
     tokens, sizes = expand(row["tokens"], np.uint32).astype(np.int64), expand(row["sizes"], np.uint32).astype(np.int64)
     context = np.r_[0, tokens[:-1]]
@@ -235,21 +245,25 @@ def count_pairs(made: DataFrame, model: Model, ranges: int) -> DataFrame:
     """
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for b in parts([batch], 1) for r in b.to_pylist()):
                 b = _block(row, row["answers"])
                 context, word, part, _, n, split = _asked(b, model, ranges)
                 for i, j, first in _runs(part, context):
                     own = context[i:j]
-                    blobs = (b["words"][own[first]], np.diff(np.r_[first, j - i]).astype(np.uint32), b["words"][word[i:j]] & _LOW40,
-                             n[i:j].astype(np.uint32), b["count"][word[i:j]], split[i:j][first].astype(np.uint8))
+                    # words rise within a context, so their first 40 bits need few bytes as steps
+                    blobs = (squeeze_rising(b["words"][own[first]]), squeeze(np.diff(np.r_[first, j - i]).astype(np.uint32)),
+                             squeeze(np.diff(b["words"][word[i:j]] >> _DROP, prepend=np.uint64(0)) & _LOW40),
+                             squeeze(n[i:j].astype(np.uint32)), squeeze(b["count"][word[i:j]]),
+                             squeeze(split[i:j][first].astype(np.uint8)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["block"]], pa.int64()), pa.array([part[i]], pa.int64())]
-                        + [pa.array([squeeze(x)], pa.binary()) for x in blobs],
+                        + [pa.array([x], pa.binary()) for x in blobs],
                         ["block", "part", "contexts", "sizes", "words", "trained", "backing", "split"])
 
     def answer(key, table):
         get = lambda name, kind: [expand(x, kind) for x in table.column(name).to_pylist()]
-        contexts, sizes, words = get("contexts", np.uint64), get("sizes", np.uint32), get("words", np.uint64)
+        contexts, sizes = [expand_rising(x) for x in table.column("contexts").to_pylist()], get("sizes", np.uint32)
+        words = [np.cumsum(x, dtype=np.uint64) & _LOW40 for x in get("words", np.uint64)]
         names = np.concatenate(contexts)
         size = np.concatenate(sizes).astype(np.int64)
         named, of_context = np.unique(names, return_inverse=True)
@@ -304,7 +318,7 @@ def scored(made: DataFrame, model: Model, split: dict, ranges: int, kind: str) -
     def run(batches):
         base_unit = model.n + 0.5 * (model.v + 1)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for b in parts([batch], 1) for r in b.to_pylist()):
                 b = _block(row, row["answers"])
                 context, word, part, of_token, _, _ = _asked(b, model, ranges)
                 answers = sorted(row["pairs"] or [], key=lambda x: x["part"])
