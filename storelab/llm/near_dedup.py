@@ -10,9 +10,11 @@ bucket keys.
 2. In each bucket the smallest class is the hub; star edges hub - member are confirmed on
    the full sets, so a bucket of n classes costs n - 1 pairs.
 3. A bucket that still holds several components may hide a link that its star has not
-   tested. Its members of different components are compared too: first on the whole
-   signatures (similarity estimated at 0.5 or more; a true pair at 0.75 is over six
-   standard deviations above), then on the full sets.
+   tested. The members of such buckets are compared too, family by family (a family is what
+   stars join, confirmed or not): blocks of sets against blocks of sets, by the exact sizes
+   of all intersections, which are sums of matrix products inside a task. A task returns at
+   most one link for each two components. This work grows with the square of the open rows
+   of a family, which are few: variants of one text that the stars did not join.
 
 A pair at similarity 0.75 shares a bucket with probability 1 - (1 - 0.75**4)**32, over
 0.99999. Sizes must allow the similarity, which drops pairs without reading their texts.
@@ -36,7 +38,7 @@ from storelab.session import cut
 SHINGLE = 5
 PERCENT = 75
 BINS, BANDS, ROWS = 128, 32, 4
-ESTIMATE = 0.5
+FAMILY_BLOCK = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,9 +108,8 @@ def _sign(batches):
             keys = mix64(keys + sig[:, r::ROWS])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("digest"), pa.array(size),
-             lists(keys.ravel().view(np.int64), np.arange(n + 1) * BANDS, pa.int64()),
-             binaries((sig & np.uint64(255)).astype(np.uint8).ravel(), np.arange(n + 1) * BINS)],
-            ["doc_id", "digest", "n", "bands", "sig"])
+             lists(keys.ravel().view(np.int64), np.arange(n + 1) * BANDS, pa.int64())],
+            ["doc_id", "digest", "n", "bands"])
 
 
 def _digest() -> F.Column:
@@ -119,7 +120,7 @@ def _digest() -> F.Column:
 def signed(docs: DataFrame) -> DataFrame:
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", _digest())
     return narrow.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-                                    "digest string, n long, bands array<long>, sig binary")
+                                    "digest string, n long, bands array<long>")
 
 
 def _sizes_allow() -> F.Column:
@@ -151,48 +152,100 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in at least ``ESTIMATE`` of the bins."""
-    sig = reps.select("rep", "sig")
-    both = (pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-            .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b"))
+def _sets(texts: DataFrame, kind: str) -> DataFrame:
+    """(rep, codes): the sorted shingle hashes of each text."""
+    def run(batches):
+        hasher = Hasher()
+        for batch in parts(batches, 512):
+            sets = [x for s in slices(batch.column("text")) for x in shingle_sets(s, hasher)]
+            ends = np.r_[0, np.cumsum([8 * len(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), binaries(np.concatenate(sets).view(np.uint8), ends)], ["rep", "codes"])
+
+    return texts.select("rep", "text").mapInArrow(run, f"rep {kind}, codes binary")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two blocks of sets, by matrix products."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    useful = often[place] > 1
+    owner, place = owner[useful], np.unique(place[useful], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        i, j = np.searchsorted(place, [c, c + columns])
+        block = np.zeros((len(sets), columns), np.float32)
+        block[owner[i:j], place[i:j] - c] = 1
+        out += block[: len(left)] @ block[len(left):].T
+    return out
 
-    def check(batches):
-        for batch in parts(batches, 2048):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-            mask = pa.array((x == y).mean(axis=1) >= ESTIMATE)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    kind = reps.schema["rep"].dataType.simpleString()
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}").distinct()
+def _links_of_blocks(key, table):
+    """One link for each two components that have any between two blocks of a family."""
+    rows = table.to_pylist()
+    first, second = key[1].as_py(), key[2].as_py()
+    left = [r for r in rows if r["own"] == first]
+    right = [r for r in rows if r["own"] == second]
+    found: dict = {}
+    if left and right:
+        sets = [[np.frombuffer(r["codes"], np.uint64) for r in side] for side in (left, right)]
+        sizes = [np.array([len(x) for x in side], float) for side in sets]
+        common = shared_counts(*sets)
+        near = 100 * common >= PERCENT * (sizes[0][:, None] + sizes[1][None] - common)
+        parts_of = [np.array([r["component"] for r in side]) for side in (left, right)]
+        near &= parts_of[0][:, None] != parts_of[1][None]
+        for i, j in zip(*np.nonzero(near)):
+            found.setdefault((parts_of[0][i], parts_of[1][j]), (left[i]["rep"], right[j]["rep"]))
+    kind = table.schema.field("rep").type
+    return pa.table({"a": pa.array([x for x, _ in found.values()], kind), "b": pa.array([x for _, x in found.values()], kind)})
+
+
+def _open_links(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between rows (family, rep, component) of one family and different components.
+
+    The rows of a family are dealt into blocks of about ``FAMILY_BLOCK``; a task compares
+    two blocks by the exact sizes of all their intersections and returns at most one link
+    for each two components, so no pair of rows is ever a row of a table.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sizes = open_rows.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("n"))
+    texts = docs.where("text is not null").select(F.col("doc_id").alias("rep"), "text")
+    sets = _sets(texts.join(open_rows.select("rep"), "rep", "left_semi"), kind)
+    dealt = (cut(sets).join(open_rows, "rep").join(sizes, "family")
+             .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+             .select("family", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"),
+                     "own", "rep", "component", "codes"))
+    return dealt.groupBy("family", "first", "second").applyInArrow(_links_of_blocks, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
     rows = cut(signed(docs))
     reps = cut(rows.where("n > 0 and doc_id is not null").groupBy("digest")
-               .agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("r"))
-               .select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.bands", "r.sig"))
+               .agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
+               .select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.bands"))
     members = reps.select(F.explode("bands").alias("key"), "rep", "n")
     hubs = (members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last"))
             .where("h.rep <> last").select("key", F.col("h.rep").alias("a"), F.col("h.n").alias("na")))
-    stars = cut(members.withColumnsRenamed({"rep": "b", "n": "nb"}).join(hubs, "key")
-                .where((F.col("a") != F.col("b")) & _sizes_allow()).select("a", "b").distinct())
-    links = cut(confirmed(stars, docs))
+    starred = cut(members.withColumnsRenamed({"rep": "b", "n": "nb"}).join(hubs, "key").where("a <> b")
+                  .select("a", "b", "na", "nb").distinct())
+    links = cut(confirmed(starred.where(_sizes_allow()).select("a", "b"), docs))
     found = components(links)
 
     # what the stars have left open: members of one bucket in different components
     shared = members.join(hubs.select("key"), "key", "left_semi")
     labelled = (shared.join(found, shared.rep == found.node, "left")
-                .select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
+                .select("key", "rep", F.coalesce("component", "rep").alias("component")))
     mixed = (labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("key"))
-    still = cut(labelled.join(mixed, "key", "left_semi"))
-    left = still.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = still.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    open_pairs = (left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow())
-                  .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = cut(confirmed(cut(_alike(open_pairs, reps)), docs))
+    still = labelled.join(mixed, "key", "left_semi").select("rep", "component").distinct()
+    families = components(starred).withColumnsRenamed({"component": "family"})
+    open_rows = cut(still.join(families, still.rep == families.node, "left")
+                    .select(F.coalesce("family", "rep").alias("family"), "rep", "component"))
+    more = cut(_open_links(open_rows, docs))
     if more.limit(1).count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
