@@ -35,9 +35,9 @@ from storelab.session import cut
 
 MAX_DISCOUNTED = 5
 MIN_CONTEXT = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 RANGE_WORDS = 2_000_000
-RANGE_PAIRS = 1_500_000
+RANGE_PAIRS = 800_000
 SPLIT_LEAST = 500_000
 MAX_SPLIT = 20_000
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27BB2EE687B0B0FD)
