@@ -1,0 +1,372 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties and empty tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from storelab.llm import (edit_embedding, katz, mixing, near_dedup, packing, quality_classifier, quality_rules, rollups,
+                          sharding, substring_dedup, tokens)
+from storelab.llm.queries import QUERIES
+from storelab.session import scratch_path
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, code string, n long, spans string, "
+          "digest string, `order` string")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def prose(n, seed):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def edge_rows():
+    long = prose(30_000, 1)
+    part = prose(70, 2)
+    texts = [None, "", "  \n\t", "one", "One two\nTHREE", part, part, part + " tail words here", "head " + part, prose(200, 3),
+             prose(200, 3) + " x", long, long, "é" * 50 + " ü z <|endoftext|> it's !! 12", "same line\nsame line\nsame line",
+             "a b c d e " * 40, prose(49, 4), prose(50, 5), prose(50, 5)]
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}" if i % 5 else None, 7, "c", 1, "s", "d", "o") for i, t in enumerate(texts)]
+    return rows + [(None, part, None, None, None, None, None, None, None, None), rows[9]]
+
+
+@pytest.fixture(scope="module")
+def edge(spark, edge_rows):
+    return spark.createDataFrame(edge_rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def pairs_of(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("table", ["edge", "docs"])
+def test_rules(request, table):
+    df = request.getfixturevalue(table)
+    want = Counter()
+    for i, t in pairs_of(df):
+        w, t = words(t), t or ""
+        runs = Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))
+        covered = {j for k in range(len(w) - 4) if runs[tuple(w[k:k + 5])] > 1 for j in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if words(x)]
+        n = len(covered)
+        want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), n,
+             len(w) < 10 or 100 * n > 20 * len(w)] += 1
+    rows = quality_rules.quality_rules(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == want
+    assert not any(r.base_failed and r.kept for r in rows)
+    kept = Counter(r.doc_id for r in rows if r.kept)
+    assert Counter(r.doc_id for r in quality_rules.accepted(df).collect()) == kept
+
+
+def test_divergence():
+    a = np.array([[1, 1, 0], [0, 0, 4], [2, 2, 0]])
+    assert np.allclose(quality_rules.distances(a, np.array([0.5, 0.5, 0])), [0, 1, 0])
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = low(t) and words(low(t))
+        s = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        if i is not None:
+            sets.setdefault(i, []).append(s)
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if i < j and any(len(x & y) and 100 * len(x & y) >= 75 * len(x | y) for x in sets[i] for y in sets[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i: top(i) for i in ids}
+
+
+@pytest.mark.parametrize("table", ["edge", "docs"])
+def test_near_duplicates(request, table):
+    df = request.getfixturevalue(table)
+    want = brute_components(pairs_of(df))
+    rows = near_dedup.near_duplicates(df).collect()
+    assert len(rows) == df.count()
+    for r in rows:
+        assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or r.component_id == r.doc_id)
+    left = near_dedup.deduplicated(df)
+    assert left.columns == df.columns
+    assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted(set(want.values()))
+
+
+def test_links_beyond_the_stars(spark):
+    """Members of one bucket that their hub does not link are still linked to each other."""
+    base = prose(120, 9).split()
+    rows = [(k, " ".join(base[:60 + 4 * k] + prose(60 - 4 * k, 50 + k).split())) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == want
+    sets = [np.sort(np.random.default_rng(s).choice(500, 80, replace=False)).astype(np.uint64) for s in range(6)]
+    got = near_dedup.shared_counts(sets[:3], sets[3:], columns=64)
+    assert [[len(np.intersect1d(x, y)) for y in sets[3:]] for x in sets[:3]] == got.astype(int).tolist()
+
+
+def test_densified_bins():
+    first = np.zeros((2, 8), np.uint64)
+    first[0, 3] = 5
+    filled = first > 0
+    assert (near_dedup.densified(first, filled)[0] == 5).all() and not near_dedup.densified(first, filled)[1].any()
+
+
+@pytest.mark.parametrize("table", ["edge", "docs"])
+def test_substrings(request, table):
+    df = request.getfixturevalue(table)
+    rows = pairs_of(df)
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 49 if i is not None else 0):
+            key = tuple(w[k:k + 50])
+            first[key] = min(i, first.get(key, i))
+    want = Counter()
+    for i, t in rows:
+        w = words(t)
+        gone = {j for k in range(len(w) - 49 if i is not None else 0) if first[tuple(w[k:k + 50])] < i for j in range(k, k + 50)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        want[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in substring_dedup.digests(df).collect()) == want
+    left = substring_dedup.deduplicated(df)
+    assert left.columns == df.columns
+    assert left.count() == sum(c for (_, n, gone, _), c in want.items() if not gone or gone < n)
+
+
+@pytest.mark.parametrize("table", ["edge", "docs"])
+def test_shards(request, table):
+    df = request.getfixturevalue(table)
+    rows = sharding.sharded(df, 4, 5).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs_of(df))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    slots = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(4)}
+    assert all(v == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 257])
+def test_permutation(spark, n):
+    from pyspark.sql import functions as F
+    got = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 11)).collect()]
+    assert sorted(got) == list(range(n))
+
+
+def test_mixture(spark, edge):
+    rows = [(i, f"w{i} " * (40 if i % 10 else 3), "big" if i < 800 else f"small{i % 4}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(df, target=0.99, limit=3.0).toPandas()
+    assert set(got.doc_id) == set(range(1000))
+    tokens_of = {s: sum(len(words(t)) for _, t, x in rows if x == s) for s in {r[2] for r in rows}}
+    passed = got.groupby("source").n_tokens.sum()
+    ratio = {s: passed[s] / t for s, t in tokens_of.items()}
+    assert min(ratio.values()) == 1 and 1.5 < max(ratio.values()) <= 3.01
+    assert edge.columns == mixing.mixed(edge).columns
+    assert {r.doc_id for r in mixing.mixed(edge).collect()} == {r.doc_id for r in edge.collect()}
+
+
+@pytest.mark.parametrize("table", ["edge", "docs"])
+def test_packing(request, table):
+    from tokenizers import Tokenizer
+    df = request.getfixturevalue(table)
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    library.encode_special_tokens = True
+    want = Counter()
+    for i, t in pairs_of(df):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            own = ids[k:k + 4096]
+            want[i, k // 4096, k, len(own), zlib.crc32(own.tobytes())] += 1
+    got = packing.packed(df).toPandas()
+    assert Counter((None if math.isnan(r[0]) else int(r[0]), *map(int, r[1:])) for r in
+                   got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.length.sum() <= 4096 and (s.offset == s.length.cumsum() - s.length).all()
+    assert got.sequence_id.nunique() <= 1.03 * math.ceil(got.length.sum() / 4096) + 1
+
+
+def test_improved_packing_never_needs_more():
+    for seed in range(5):
+        lengths = np.random.default_rng(seed).integers(1, 4097, 300)
+        before = packing.best_fit(lengths, 4096)
+        after = packing.improved(lengths, before, 4096)
+        assert len(after) <= len(before) and sorted(i for b in after for i in b) == list(range(300))
+        assert max(lengths[b].sum() for b in after) <= 4096
+    assert len(packing.improved(np.array([6, 4, 5, 5, 5, 5]), [[0], [1], [2], [3, 4], [5]], 10)) == 3
+
+
+@pytest.mark.parametrize("table", ["edge", "docs"])
+def test_edit_likeness(request, table):
+    df = request.getfixturevalue(table)
+    rows = sorted(((-1 << 63 if i is None else i, t or "") for i, t in pairs_of(df)))
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        half = len(t) // 2
+        new = t[:len(t) - half] + rows[(k + 1) % len(rows)][1][:half]
+        want[None if i == -1 << 63 else i, len(t), hashlib.sha256(new.encode()).hexdigest()] += 1
+    got = edit_embedding.edit_likeness(df).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    prints = {}
+    for r in got:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        if r.n_chars > 300:
+            assert r.near_edited > 0.3
+    for r, (i, t) in zip(sorted(got, key=lambda r: (-1 << 63 if r.doc_id is None else r.doc_id, r.n_chars)), rows):
+        assert prints.setdefault(t, r.fingerprint) == r.fingerprint
+
+
+def test_walks_meet_again():
+    ladder = edit_embedding.Ladder()
+    text = prose(400, 1)
+    near = text[:900] + "Q" + text[901:1500] + text[1503:]
+    a, b, c = edit_embedding.walked([text, near, prose(400, 2)], ladder)
+    assert edit_embedding.likeness(a, b, ladder) > 0.7 > 0.1 > edit_embedding.likeness(a, c, ladder)
+
+
+def test_near_pairs(spark):
+    text = prose(300, 1)
+    df = spark.createDataFrame([(1, text), (2, text[:700] + "QQ" + text[702:]), (3, prose(300, 2)), (4, text), (5, None)], "doc_id long, text string")
+    assert {(r.a, r.b) for r in edit_embedding.near_pairs(df).collect()} == {(1, 2)}
+
+
+@pytest.mark.parametrize("table", ["edge", "docs"])
+def test_katz(request, table, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 50_000), ("RANGE_PAIRS", 20_000), ("RANGE_WORDS", 5_000), ("SPLIT_LEAST", 1_000), ("MAX_SPLIT", 10**9)):
+        monkeypatch.setattr(katz, name, value)
+    df = request.getfixturevalue(table)
+    rows = [(i, [*words(low(t)), "<end>"]) for i, t in pairs_of(df)]
+    one, two, context = Counter(), Counter(), Counter()
+    for i, w in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            one.update(w)
+            two.update(zip([None, *w], w))
+    for (v, _), c in two.items():
+        context[v] += c
+    two = {k: c for k, c in two.items() if context[k[0]] >= katz.MIN_CONTEXT}
+    n, v_size = sum(one.values()), len(one)
+    d1, d2 = (katz.discounts([list(x.values()).count(r) for r in range(1, 7)]) for x in (one, two))
+    cut_down = lambda c, d: c * (d[c] if c <= 5 else 1)
+    unknown = 1 - sum(cut_down(c, d1) for c in one.values()) / n
+    p1 = lambda w: cut_down(one[w], d1) / n if w in one else unknown
+    freed, mass = Counter(), Counter()
+    for (v, w), c in two.items():
+        freed[v] += (c - cut_down(c, d2)) / context[v]
+        mass[v] += p1(w)
+
+    def p2(v, w):
+        if context[v] < katz.MIN_CONTEXT:
+            return p1(w)
+        free = max(freed[v], 0.5 / (context[v] + 1))
+        if (v, w) in two:
+            return cut_down(two[v, w], d2) / context[v] * (1 - free) / (1 - freed[v])
+        return free / (1 - mass[v]) * p1(w)
+    want = sorted((-1 if i is None else i, len(w), sum(x in one for x in w), sum(math.log10((one[x] + 0.5) / (n + 0.5 * (v_size + 1))) for x in w),
+                   sum(math.log10(p2(v, x)) for v, x in zip([None, *w], w))) for i, w in rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in katz.language_scores(df).collect())
+    assert np.allclose(got, want, rtol=1e-9)
+    for v in list(context)[::max(1, len(context) // 20)]:
+        assert abs(sum(p2(v, w) for w in one) + (unknown if context[v] < katz.MIN_CONTEXT else
+                   max(freed[v], 0.5 / (context[v] + 1)) / (1 - mass[v]) * unknown) - 1) < 1e-9
+
+
+def test_classifier(spark, sf_dir, docs, edge):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.trained(docs, labels)
+    got = quality_classifier.scored(docs, model).join(labels, "doc_id").toPandas()
+    assert (got.predicted == got.quality)[~got.held_out].mean() > 0.9
+    edges = quality_classifier.scored(edge, model).collect()
+    assert len(edges) == edge.count() and all(0 <= r.score <= 1 for r in edges)
+    blank = quality_classifier.scored(edge, quality_classifier.trained(docs, labels.limit(0))).collect()
+    assert {r.score for r in blank} == {0.5}
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (5, 700, 90)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    labels = np.array([1, 0, 1], np.float32)
+    model = quality_classifier.fit([], labels)
+    model["weights"] = rng.normal(0, 1, model["weights"].shape).astype(np.float32)
+
+    def loss():
+        p = quality_classifier.scores(model, quality_classifier.pooled(model, data, offsets)[0]).astype(float)
+        return -np.mean(np.where(labels == 1, np.log(p), np.log(1 - p)))
+    grads = quality_classifier._gradients(model, data, offsets, labels)
+    for name, at in (("filters", (3, 2)), ("embed", (101, 1)), ("weights", (4,)), ("shift", (5,))):
+        old = model[name][at]
+        model[name][at] = old + 2e-3
+        up = loss()
+        model[name][at] = old - 2e-3
+        slope = (up - loss()) / 4e-3
+        model[name][at] = old
+        assert abs(slope - grads[name][at]) < 2e-2 * max(1, abs(slope))
+
+
+def test_rollups(spark, sf_dir, edge):
+    from pyspark.sql import functions as F
+    counts = rollups.token_counts(edge)
+    folder = scratch_path(spark, "test-rollups")
+    n = F.col("n_words")
+    rollups.commit(rollups.changes(counts, "insert", "w", n), folder, "a")
+    rollups.commit(rollups.changes(counts.where("doc_id = 9"), "delete", "w", n), folder, "b")
+    rollups.commit(rollups.changes(counts.where("doc_id = 9"), "delete", "w", n), folder, "b")
+    rollups.commit(rollups.changes(counts.where("doc_id = 5"), "revise", "w", n + 3, n), folder, "c")
+    want = Counter()
+    for r in edge.collect():
+        if r.doc_id != 9:
+            want[r.source, r.lang] += len(words(r.text)) + 3 * (r.doc_id == 5)
+    got = rollups.totals(spark, folder, ["a", "b", "b", "c"])
+    assert {(r.source, r.lang): r.n_tokens for r in got.collect() if r.n_docs} == dict(want)
+    rollups.compacted(spark, folder, ["a", "b"], "ab")
+    again = rollups.totals(spark, folder, ["ab", "c"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+
+
+def test_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for df in (quality_classifier.classified(empty, labels), substring_dedup.digests(empty), substring_dedup.deduplicated(empty),
+               sharding.sharded(empty, 16), edit_embedding.edit_likeness(empty), mixing.mixture(empty), mixing.mixed(empty),
+               katz.language_scores(empty), packing.packed(empty), quality_rules.quality_rules(empty), quality_rules.accepted(empty),
+               near_dedup.near_duplicates(empty), near_dedup.deduplicated(empty), rollups.token_counts(empty)):
+        assert df.collect() == []
+
+
+def test_pipeline(spark, sf_dir, docs):
+    import corpus_pipeline as c
+    assert "pipeline" not in QUERIES and len(c.STAGES) == 5
+    now = docs
+    for name, stage in c.STAGES[:-1]:
+        after = stage(spark, now, sf_dir)
+        assert after.columns == docs.columns, name
+        now = after
+    ids = {r.doc_id for r in now.collect()}
+    packed = c.run(spark, sf_dir).toPandas()
+    assert set(packed.doc_id) == ids
