@@ -33,7 +33,7 @@ THRESHOLD = 0.3
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
 CHUNK, CHUNK_STEP = 128, 112
 MAX_LAG = 48
-EPOCHS, BATCH, RATE = 5, 64, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 5, 400, 64, 0.01
 SLICE_BYTES = 1 << 19
 
 
@@ -158,14 +158,15 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> dict:
     first = {k: np.zeros_like(v) for k, v in model.items()}
     second = {k: np.zeros_like(v) for k, v in model.items()}
     t = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(texts), BATCH)))  # few rows are seen more often
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             own = order[i: i + BATCH]
             data = np.frombuffer(b"".join(texts[j] for j in own), np.uint8)
             offsets = np.r_[0, np.cumsum([len(texts[j]) for j in own])]
             t += 1
-            rate = RATE * (0.3 if epoch >= EPOCHS - 2 else 1.0)
+            rate = RATE * (0.3 if epoch >= 0.6 * epochs else 1.0)
             for k, g in _gradients(model, data, offsets, labels[own]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
