@@ -199,7 +199,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> dict:
         model = fit([(r[1] or "").encode() for r in rows], np.array([r[2] for r in rows], np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(training_sample(docs, labels).repartition(1).mapInArrow(run, "model binary").first()[0])
+    found = training_sample(docs, labels).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else fit([], np.zeros(0, np.float32))
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
