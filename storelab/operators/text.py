@@ -23,8 +23,7 @@ def words(text: Column) -> Column:
 
 
 def without_stop_words(items: Column, stop_words: Sequence[str] = K.STOP_WORDS) -> Column:
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(items, lambda w: ~F.array_contains(stop, w))
+    return F.filter(items, lambda w: ~w.isin(*stop_words))
 
 
 def ngrams(items: Column, low: int = 2, high: int = 4) -> Column:
