@@ -41,7 +41,8 @@ RANGE_PAIRS = 800_000
 SPLIT_LEAST = 500_000
 MAX_SPLIT = 20_000
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27BB2EE687B0B0FD)
-_DROP, _LOW40 = np.uint64(24), np.uint64((1 << 40) - 1)
+# bits of a hash that a bigram's word and a context need not carry inside one range
+_DROP, _DROP_CONTEXT = np.uint64(24), np.uint64(16)
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -67,6 +68,16 @@ def expand_rising(raw: bytes) -> np.ndarray:
     return np.cumsum(expand(raw, np.uint64), dtype=np.uint64)
 
 
+def _by_frequency(trained: np.ndarray) -> np.ndarray:
+    """Local numbers, most frequent first; places in it are small numbers, which compress well."""
+    return np.argsort(-trained.astype(np.int64), kind="stable")
+
+
+def _narrow(n: int):
+    """The smallest unsigned type for numbers below n."""
+    return np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """Range of a hash; ascending hashes have ascending ranges."""
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -93,11 +104,13 @@ def blocks(docs: DataFrame) -> DataFrame:
             dictionary, local = np.unique(np.r_[tokens, START], return_inverse=True)
             local = local[:-1].astype(np.uint32)
             trained = np.bincount(local[np.repeat(~flag, n)], minlength=len(dictionary)).astype(np.uint32)
+            rank = np.empty(len(dictionary), np.uint32)
+            rank[_by_frequency(trained)] = np.arange(len(dictionary))
             return pa.RecordBatch.from_arrays(
                 [pa.array([(TaskContext.get().partitionId() << 24) + number], pa.int64()),
                  pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([flag.tolist()], pa.list_(pa.bool_())),
                  *[pa.array([x], pa.binary()) for x in (squeeze(n.astype(np.uint32)), squeeze_rising(dictionary),
-                                                        squeeze(trained), squeeze(local))],
+                                                        squeeze(trained), squeeze(rank[local]))],
                  pa.array([len(local)], pa.int64()), pa.array([len(dictionary)], pa.int64())],
                 ["block", "doc_ids", "held", "sizes", "words", "trained", "tokens", "n_tokens", "n_words"])
 
@@ -196,7 +209,8 @@ def _block(row, counts) -> dict:
     """Arrays of one block with the training count of each of its words."""
     words = expand_rising(row["words"])
     total = np.concatenate([expand(x["counts"], np.uint64) for x in sorted(counts, key=lambda x: x["part"])])
-    tokens, sizes = expand(row["tokens"], np.uint32).astype(np.int64), expand(row["sizes"], np.uint32).astype(np.int64)
+    tokens = _by_frequency(expand(row["trained"], np.uint32))[expand(row["tokens"], np.uint32)]
+    sizes = expand(row["sizes"], np.uint32).astype(np.int64)
     context = np.r_[0, tokens[:-1]]
     context[np.cumsum(sizes) - sizes] = np.searchsorted(words, START)
     return {"words": words, "count": total, "tokens": tokens, "sizes": sizes, "context": context,
@@ -250,20 +264,24 @@ def count_pairs(made: DataFrame, model: Model, ranges: int) -> DataFrame:
                 context, word, part, _, n, split = _asked(b, model, ranges)
                 for i, j, first in _runs(part, context):
                     own = context[i:j]
-                    # words rise within a context, so their first 40 bits need few bytes as steps
-                    blobs = (squeeze_rising(b["words"][own[first]]), squeeze(np.diff(np.r_[first, j - i]).astype(np.uint32)),
-                             squeeze(np.diff(b["words"][word[i:j]] >> _DROP, prepend=np.uint64(0)) & _LOW40),
-                             squeeze(n[i:j].astype(np.uint32)), squeeze(b["count"][word[i:j]]),
+                    # each word of the range is sent once, its bigrams send its place
+                    known, place = np.unique(word[i:j], return_inverse=True)
+                    blobs = (squeeze_rising(b["words"][own[first]] >> _DROP_CONTEXT),
+                             squeeze(np.diff(np.r_[first, j - i]).astype(np.uint32)),
+                             squeeze_rising(b["words"][known] >> _DROP), squeeze(place.astype(_narrow(len(known)))),
+                             squeeze(n[i:j].astype(np.uint32)), squeeze(b["count"][known]),
                              squeeze(split[i:j][first].astype(np.uint8)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row["block"]], pa.int64()), pa.array([part[i]], pa.int64())]
                         + [pa.array([x], pa.binary()) for x in blobs],
-                        ["block", "part", "contexts", "sizes", "words", "trained", "backing", "split"])
+                        ["block", "part", "contexts", "sizes", "words", "places", "trained", "backing", "split"])
 
     def answer(key, table):
         get = lambda name, kind: [expand(x, kind) for x in table.column(name).to_pylist()]
-        contexts, sizes = [expand_rising(x) for x in table.column("contexts").to_pylist()], get("sizes", np.uint32)
-        words = [np.cumsum(x, dtype=np.uint64) & _LOW40 for x in get("words", np.uint64)]
+        contexts, known = ([expand_rising(x) for x in table.column(name).to_pylist()] for name in ("contexts", "words"))
+        sizes, counts = get("sizes", np.uint32), get("backing", np.uint64)
+        places = [expand(x, _narrow(len(k))) for x, k in zip(table.column("places").to_pylist(), known)]
+        words = [k[p] for k, p in zip(known, places)]
         names = np.concatenate(contexts)
         size = np.concatenate(sizes).astype(np.int64)
         named, of_context = np.unique(names, return_inverse=True)
@@ -271,7 +289,7 @@ def count_pairs(made: DataFrame, model: Model, ranges: int) -> DataFrame:
         code = mix64(named[context] * np.uint64(0x9E3779B97F4A7C15) + np.concatenate(words))
         _, first, place = np.unique(code, return_index=True, return_inverse=True)
         total = np.bincount(place, np.concatenate(get("trained", np.uint32)), len(first)).astype(np.int64)
-        backing = model.unigram(np.concatenate(get("backing", np.uint64))[first])
+        backing = model.unigram(np.concatenate([c[p] for c, p in zip(counts, places)])[first])
         own = context[first]
         tokens = np.bincount(own, total, len(named)).astype(np.int64)
         seen = [np.bincount(own[total == r], minlength=len(named)) for r in range(1, MAX_DISCOUNTED + 1)]
@@ -290,7 +308,8 @@ def count_pairs(made: DataFrame, model: Model, ranges: int) -> DataFrame:
                          "counts": pa.array(counts, pa.binary()), "contexts": pa.array(context_stats, pa.binary()),
                          "backing": pa.array(masses, pa.binary())})
 
-    return (made.mapInArrow(ask, "block long, part long, contexts binary, sizes binary, words binary, trained binary, backing binary, split binary")
+    return (made.mapInArrow(ask, "block long, part long, contexts binary, sizes binary, words binary, places binary, "
+                           "trained binary, backing binary, split binary")
             .groupBy("part").applyInArrow(answer, "block long, part long, counts binary, contexts binary, backing binary"))
 
 
@@ -320,7 +339,7 @@ def scored(made: DataFrame, model: Model, split: dict, ranges: int, kind: str) -
         for batch in batches:
             for row in (r for b in parts([batch], 1) for r in b.to_pylist()):
                 b = _block(row, row["answers"])
-                context, word, part, of_token, _, _ = _asked(b, model, ranges)
+                context, word, part, of_token, _, divided = _asked(b, model, ranges)
                 answers = sorted(row["pairs"] or [], key=lambda x: x["part"])
                 c = b["count"][b["tokens"]]
                 p = model.unigram(c)
@@ -329,10 +348,10 @@ def scored(made: DataFrame, model: Model, split: dict, ranges: int, kind: str) -
                     stats = np.concatenate([expand(x["contexts"], np.uint32) for x in answers]).reshape(-1, MAX_DISCOUNTED + 1).astype(np.int64)
                     mass = np.concatenate([expand(x["backing"], np.float64) for x in answers])
                     lead = np.concatenate([a + first for a, _, first in _runs(part, context)])
-                    name = b["words"][context[lead]]
+                    name = b["words"][context[lead]] >> _DROP_CONTEXT
                     if len(split_names):
                         at = np.minimum(np.searchsorted(split_names, name), len(split_names) - 1)
-                        hit = split_names[at] == name
+                        hit = divided[lead] & (split_names[at] == name)
                         stats[hit], mass[hit] = split_stats[at[hit]], split_mass[at[hit]]
                     scale, weight = backoff(stats, mass, model.pairs)
                     owner = np.cumsum(np.bincount(lead, minlength=len(part))) - 1
