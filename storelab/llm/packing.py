@@ -29,6 +29,7 @@ from storelab.session import cut
 
 SEQUENCE = 4096
 GROUP_PIECES = 60_000
+PROBES = 32  # bins and lengths that a step tries for two-for-one exchanges
 POOR = 0.97  # bins filled less are packed again with those of other groups
 
 
@@ -113,9 +114,10 @@ def improved(lengths: np.ndarray, bins: list[list[int]], size: int, max_steps: i
         if not candidates:
             break
         a, helped = candidates[0], False
-        for x in sorted(members[a], key=lambda i: -lengths[i]):
-            room = size - fill
-            room[a] = -1
+        room = size - fill
+        room[a] = -1
+        # pieces of one length are interchangeable: one of each is tried
+        for k, x in enumerate({int(lengths[i]): i for i in sorted(members[a], key=lambda i: -lengths[i])}.values()):
             fits = np.flatnonzero((room >= lengths[x]) & (fill > 0))
             if len(fits):
                 place(x, int(fits[np.argmin(room[fits])]))
@@ -123,7 +125,7 @@ def improved(lengths: np.ndarray, bins: list[list[int]], size: int, max_steps: i
                 break
             gain = lengths[x] - lengths[open_items]
             ok = np.flatnonzero((gain > 0) & (gain <= room[where[open_items]]))
-            ok = ok[fill[where[open_items[ok]]] + gain[ok] > fill[a] - gain[ok]] if len(ok) else ok
+            ok = ok[fill[where[open_items[ok]]] + gain[ok] > fill[a]] if len(ok) else ok
             if len(ok):
                 y = int(open_items[ok[np.argmax(gain[ok])]])
                 b = int(where[y])
@@ -131,7 +133,7 @@ def improved(lengths: np.ndarray, bins: list[list[int]], size: int, max_steps: i
                 place(y, a)
                 helped = True
                 break
-            if _two_for_one(lengths, members, fill, room, x, a, place):
+            if k < PROBES and _two_for_one(lengths, members, fill, room, x, a, place):
                 helped = True
                 break
         steps += 1
@@ -147,28 +149,34 @@ def improved(lengths: np.ndarray, bins: list[list[int]], size: int, max_steps: i
 def _two_for_one(lengths, members, fill, room, x: int, a: int, place) -> bool:
     """Swap x of bin a for two pieces of another bin, or x and another of a for one.
 
-    Looks into the 200 roomiest bins, which bounds the effort of a step."""
-    partners = [i for i in members[a] if i != x]
+    Looks into the ``PROBES`` roomiest bins, which bounds the effort of a step; within a
+    bin the second piece is found by binary search in the sorted lengths."""
+    partners = np.array(sorted((i for i in members[a] if i != x), key=lambda i: lengths[i]), np.int64)
     roomy = np.flatnonzero(room > 0)
-    for b in roomy[np.argsort(-room[roomy], kind="stable")][:200].tolist():
-        own = sorted(members[b], key=lambda i: lengths[i])
-        for i, y in enumerate(own):
-            for z in own[i + 1:]:
-                gain = lengths[x] - lengths[y] - lengths[z]
-                if gain <= 0:
-                    break
-                if gain <= room[b]:
-                    place(x, b)
-                    place(y, a)
-                    place(z, a)
-                    return True
-            for w in partners:
-                gain = lengths[x] + lengths[w] - lengths[y]
-                if 0 < gain <= room[b]:
-                    place(x, b)
-                    place(w, b)
-                    place(y, a)
-                    return True
+    for b in roomy[np.argsort(-room[roomy], kind="stable")][:PROBES].tolist():
+        own = np.array(members[b], np.int64)
+        own = own[np.argsort(lengths[own], kind="stable")]
+        n = lengths[own]
+        least = max(1, int(fill[a] - fill[b]) + 1)  # the squares rise from this gain on
+        # the longest second piece that leaves such a gain
+        z = np.searchsorted(n, lengths[x] - least - n, "right") - 1
+        i = np.flatnonzero(z > np.arange(len(n)))
+        i = i[lengths[x] - n[i] - n[z[i]] <= room[b]]
+        if len(i):
+            place(x, b)
+            place(int(own[i[0]]), a)
+            place(int(own[z[i[0]]]), a)
+            return True
+        if len(partners):
+            # the longest partner that bin b has room for
+            w = np.searchsorted(lengths[partners], n + room[b] - lengths[x], "right") - 1
+            i = np.flatnonzero(w >= 0)
+            i = i[lengths[x] + lengths[partners[w[i]]] - n[i] >= least]
+            if len(i):
+                place(x, b)
+                place(int(partners[w[i[0]]]), b)
+                place(int(own[i[0]]), a)
+                return True
     return False
 
 
