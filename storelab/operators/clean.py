@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelab import constants as K
+from storelab.operators.lookup import join_groups
 
 
 def select_by_pattern(df: DataFrame, pattern: str = r"category_\w+",
@@ -94,7 +95,7 @@ def per_category(one_hot: DataFrame, prefix: str = "category_") -> DataFrame:
 def min_support(df: DataFrame, column: str = "category", rows: int = 100) -> DataFrame:
     """Rows of the groups that have at least ``rows`` rows."""
     large = df.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") >= rows).select(column)
-    return df.join(large, column, "left_semi")
+    return join_groups(df, large, column, "left_semi")
 
 
 def missing_examples(df: DataFrame, column: str, sentinel, key: str, n: int = 3) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,10 +48,12 @@ def neighbours(train: DataFrame, test: DataFrame, k: int, key: str, vector: str,
             names = rows["row"].to_numpy()
             step = max(1, _CHUNK // base.size)
             for s in range(0, len(points), step):
-                for name, d in zip(names[s:s + step], _distances(base, points[s:s + step])):
-                    pick = _smallest(d, k)
-                    out.append(pd.DataFrame({"row": name, "near": ids[pick],
-                                             "near_label": labels[pick], "distance": d[pick]}))
+                d = _distances(base, points[s:s + step])
+                picks = [_smallest(one, k) for one in d]
+                pick = np.concatenate(picks)
+                own = np.repeat(np.arange(len(picks)), [len(p) for p in picks])
+                out.append(pd.DataFrame({"row": names[s:s + step][own], "near": ids[pick],
+                                         "near_label": labels[pick], "distance": d[own, pick]}))
         if not out:
             return pd.DataFrame({"row": [], "near": [], "near_label": [], "distance": []})
         return pd.concat(out, ignore_index=True)
@@ -63,9 +64,9 @@ def neighbours(train: DataFrame, test: DataFrame, k: int, key: str, vector: str,
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _distances(base: np.ndarray, points: np.ndarray) -> Iterator[np.ndarray]:
-    for p in points:
-        yield np.sqrt(((base - p) ** 2).sum(axis=1))
+def _distances(base: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """One row of distances per point; the caller bounds the number of points."""
+    return np.sqrt(((base[None, :, :] - points[:, None, :]) ** 2).sum(axis=2))
 
 
 def _smallest(d: np.ndarray, k: int) -> np.ndarray:

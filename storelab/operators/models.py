@@ -26,6 +26,8 @@ from storelab.operators.split import share_of
 from storelab.operators.text import doc_frequency
 
 MAX_BINS = 256
+# A fitted vocabulary is held by the driver; beyond this many tokens a fit is refused, never cut.
+MAX_VOCABULARY = 20_000_000
 
 
 def add_label(df: DataFrame, target: str = "price_class") -> DataFrame:
@@ -64,10 +66,13 @@ class TfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Default
             counter = HashingTF(inputCol=get("inputCol"), outputCol=tf, numFeatures=get("hashed"),
                                 binary=get("binary"))
         else:
-            if not has_tokens(dataset, get("inputCol"), get("minDF"), get("maxDF")):
+            n_tokens = kept_tokens(dataset, get("inputCol"), get("minDF"), get("maxDF")).count()
+            if not n_tokens:
                 raise ValueError(f"no token is in {get('minDF')} to {get('maxDF')} of the documents; "
                                  "widen the limits")
-            counter = CountVectorizer(inputCol=get("inputCol"), outputCol=tf, binary=get("binary"),
+            if n_tokens > MAX_VOCABULARY:
+                raise ValueError(f"{n_tokens} tokens are too many for a vocabulary; narrow the limits or hash")
+            counter = CountVectorizer(inputCol=get("inputCol"), outputCol=tf, binary=get("binary"), vocabSize=n_tokens,
                                       minDF=_share(get("minDF")), maxDF=_share(get("maxDF"))).fit(dataset)
         idf = IDF(inputCol=tf, outputCol=raw).fit(counter.transform(dataset))
         weights = Vectors.dense(idf.idf.toArray() + 1.0)
@@ -75,10 +80,15 @@ class TfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Default
                               Normalizer(inputCol=raw, outputCol=out, p=2.0)])
 
 
+def kept_tokens(docs: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """The tokens within the document shares."""
+    pairs = docs.select(F.explode(F.array_distinct(column)).alias("token"))
+    return doc_frequency(pairs, docs, low, high)
+
+
 def has_tokens(docs: DataFrame, column: str, low: float, high: float) -> bool:
     """Whether any token lies within the document shares."""
-    pairs = docs.select(F.explode(F.array_distinct(column)).alias("token"))
-    return doc_frequency(pairs, docs, low, high).limit(1).count() > 0
+    return kept_tokens(docs, column, low, high).limit(1).count() > 0
 
 
 def _share(value: float) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storelab import constants as K
 from storelab.functions.parse import similar_ids
+from storelab.operators.lookup import join_groups
 from storelab.operators.ordered import quantiles_of
 from storelab.operators.target import QUARTILES
 from storelab.session import cut
@@ -91,7 +92,7 @@ def frequent_author_flag(df: DataFrame, more_than: int, name: str,
     """1 where the author has more than ``more_than`` listings, else 0."""
     value = F.lit(1) if value is None else value
     frequent = author_counts(df, more_than).select("author", value.alias("_hit"))
-    return (df.join(frequent, "author", "left")
+    return (join_groups(df, frequent, "author", "left")
             .withColumn(name, F.coalesce("_hit", F.lit(0).cast(frequent.schema["_hit"].dataType)))
             .drop("_hit"))
 

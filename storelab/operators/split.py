@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelab.operators.lookup import join_groups
 from storelab.operators.ordered import row_numbers
 
 
 def _runs(df: DataFrame, label: str, k: int, order: list, name: str) -> DataFrame:
     """Cut each class, in order, into k runs that differ by at most one row, larger first."""
-    label_sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    # a key without NULL, so that rows without a class are a class of their own
+    df = df.withColumn("_label", F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")))
+    label_sizes = df.groupBy("_label").agg(F.count("*").alias("_size"))
     numbered = row_numbers(df, order, [label], "_rn")
     i, base, extra = F.col("_rn") - 1, F.floor(F.col("_size") / k), F.col("_size") % k
     head = extra * (base + 1)
     fold = F.when(i < head, F.floor(F.try_divide(i, base + 1))).otherwise(
         extra + F.floor(F.try_divide(i - head, base)))
-    return (numbered.join(label_sizes, F.col(label).eqNullSafe(F.col("_label")))
+    return (join_groups(numbered, label_sizes, "_label")
             .withColumn(name, fold.cast("int") + 1).drop("_rn", "_size", "_label"))
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int = 10, name: str = "fold") -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, key: str | Sequence[str], k: int = 10,
+                     name: str = "fold") -> DataFrame:
     """Fold 1 to k: each class, in key order, is cut into k nearly equal runs.
 
     The same as ``ntile(k)`` per class, without putting a class into one task.
     """
-    return _runs(df, label, k, [key], name)
+    return _runs(df, label, k, [key] if isinstance(key, str) else list(key), name)
 
 
-def shuffled_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 23,
+def shuffled_folds(df: DataFrame, label: str, key: str | Sequence[str], k: int = 5, seed: int = 23,
                    name: str = "fold") -> DataFrame:
-    """As ``stratified_folds`` after shuffling the rows by a hash of the key."""
+    """As ``stratified_folds`` after shuffling the rows by a hash of the (first) key."""
+    key, *ties = [key] if isinstance(key, str) else key
     mixed = df.withColumn("_mix", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))))
-    return _runs(mixed, label, k, ["_mix", key], name).drop("_mix")
+    return _runs(mixed, label, k, ["_mix", key, *ties], name).drop("_mix")
 
 
 def share_of(key: str, seed: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelab import constants as K
+from storelab.operators.lookup import join_groups
 from storelab.operators.ordered import quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -38,7 +39,7 @@ def add_price_class(df: DataFrame, cuts: DataFrame, column: str = "price",
 
 def add_price_class_by(df: DataFrame, cuts: DataFrame, by: str, columns: dict[str, str]) -> DataFrame:
     """Apply per-group cuts: ``columns`` maps a value column to the class column it fills."""
-    joined = df.join(cuts, by)
+    joined = join_groups(df, cuts, by)
     return joined.withColumns({
         name: class_of(F.col(c), F.col("q25"), F.col("q50"), F.col("q75"))
         for c, name in columns.items()}).drop("q25", "q50", "q75")

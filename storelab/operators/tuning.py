@@ -101,14 +101,15 @@ def cross_val_predict(df: DataFrame, build: Callable[[], Pipeline], folds: int,
         model = build().fit(data.where(F.col(fold) != k))
         return model.transform(data.where(F.col(fold) == k)).select(*df.columns, "prediction")
 
-    with ThreadPoolExecutor(workers) as pool:
-        parts = list(pool.map(run, range(1, folds + 1)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = cut(add_prediction_class(out).withColumn("y_eval", (F.col("label") + 1).cast("int")))
-    data.unpersist()
-    return out
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            parts = list(pool.map(run, range(1, folds + 1)))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return cut(add_prediction_class(out).withColumn("y_eval", (F.col("label") + 1).cast("int")))
+    finally:
+        data.unpersist()
 
 
 def per_category(df: DataFrame, run: Callable[[str, DataFrame], DataFrame], column: str = "category",

@@ -60,8 +60,13 @@ class RunConfig:
 
 def model_table(learn: DataFrame, folds: int = 10, with_tokens: bool = True,
                 by: Sequence[str] = ()) -> DataFrame:
-    """Learning table with class, label, fold and, for text models, stems."""
-    df = learn.withColumn("category_name", parse.game_prefix(F.col("category")))
+    """Learning table with class, label, fold and, for text models, stems.
+
+    Listing ids may repeat: every row gets a number of its own, written once, on which
+    folds and stems are put back, so as many rows come out as go in.
+    """
+    df = cut(learn.withColumns({"category_name": parse.game_prefix(F.col("category")),
+                                "_row": F.monotonically_increasing_id()}))
     if by:
         df = target.add_price_class_by(df.dropna(subset=list(by)), target.price_cuts(df, by=by), by[0],
                                        {"price": "price_class"})
@@ -69,12 +74,12 @@ def model_table(learn: DataFrame, folds: int = 10, with_tokens: bool = True,
     else:
         df = target.add_price_class(df, target.price_cuts(df), name="price_class")
         df = df.withColumn("_stratum", F.col("price_class").cast("string"))
-    folded = split.stratified_folds(df.select("appId", "_stratum"), "_stratum", "appId", folds)
-    df = df.drop("_stratum").join(folded.select("appId", "fold"), "appId")
+    folded = split.stratified_folds(df.select("_row", "appId", "_stratum"), "_stratum", ["appId", "_row"], folds)
+    df = df.drop("_stratum").join(folded.select("_row", "fold"), "_row")
     if with_tokens:
-        df = df.join(text.stemmed_documents(df.select("appId", "text"), "appId", "text")
-                     .select("appId", "tokens"), "appId")
-    return models.add_label(df)
+        df = df.join(text.stemmed_documents(df.select("_row", "text"), "_row", "text")
+                     .select("_row", "tokens"), "_row")
+    return models.add_label(df.drop("_row"))
 
 
 CATEGORICAL = ["installs", "contentRating", "category_name"]
@@ -164,8 +169,11 @@ def report_rows(report: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
     df = report.drop(*drop)
     need = [c for c in df.columns if c not in ("similarApps", "name", "appUrl")]
     df = df.dropna(subset=[f"`{c}`" if "." in c else c for c in need])
-    folds = split.shuffled_folds(df.select("appId", "price_range_index"), "price_range_index", "appId", 5)
-    return models.add_label(df.join(folds.select("appId", "fold"), "appId"), "price_range_index")
+    # ids may repeat, so folds come back by a row number that is written once
+    df = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    folds = split.shuffled_folds(df.select("_row", "appId", "price_range_index"), "price_range_index",
+                                 ["appId", "_row"], 5)
+    return models.add_label(df.join(folds.select("_row", "fold"), "_row").drop("_row"), "price_range_index")
 
 
 def safe_names(df: DataFrame) -> DataFrame:
@@ -270,9 +278,10 @@ def _fit_and_score(df: DataFrame, front: list, spec: dict, config: RunConfig, ca
     if kind == "knn":
         ready = Pipeline(stages=front).fit(train)
         from pyspark.ml.functions import vector_to_array
-        points = cut(ready.transform(df).select("appId", "price", "fold", vector_to_array("features").alias("v")))
-        found = knn.neighbours(points.where("fold <> 1"), points.where("fold = 1"), spec["k"], "appId", "v", "price")
-        preds = (knn.regress(found).withColumnRenamed("row", "appId").join(points, "appId")
+        points = cut(ready.transform(df).select(F.monotonically_increasing_id().alias("row"), "price", "fold",
+                                                vector_to_array("features").alias("v")))
+        found = knn.neighbours(points.where("fold <> 1"), points.where("fold = 1"), spec["k"], "row", "v", "price")
+        preds = (knn.regress(found).join(points, "row")
                  .select(F.col("price").alias("target"), F.col("prediction").alias("predicted")))
     else:
         model = fit_model(train, front, models.regressor(spec))

@@ -61,7 +61,7 @@ def gbt_classify(spark, sf_dir):
 
 @query("forest_classify")
 def forest_classify(spark, sf_dir):
-    return _predict(spark, sf_dir, dict(kind="forest", trees=20, depth=3))
+    return _predict(spark, sf_dir, dict(kind="forest", trees=75, depth=5))
 
 
 @query("tree_classify")
@@ -83,7 +83,7 @@ def linear_classify(spark, sf_dir):
 
 @query("svm_classify")
 def svm_classify(spark, sf_dir):
-    return _predict(spark, sf_dir, dict(kind="svm", features="text", max_df=0.6, cost=10.0, iterations=10))
+    return _predict(spark, sf_dir, dict(kind="svm", features="text", max_df=0.6, cost=10.0, iterations=1000))
 
 
 @query("mlp_classify")
@@ -167,8 +167,8 @@ def tree_regress(spark, sf_dir):
 # --- tuning -------------------------------------------------------------------------
 
 def _folded(df, k):
-    """Folds 1 to k from the five folds of the table."""
-    return df.withColumn("fold", F.pmod(F.col("fold"), F.lit(k)) + 1)
+    """The table with k nearly equal folds instead of five."""
+    return split.stratified_folds(df.drop("fold"), "price_class", "appId", k)
 
 
 @query("grid_search")

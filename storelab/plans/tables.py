@@ -51,8 +51,10 @@ def known_version(column: str) -> Column:
 
 
 def add_version_numbers(df: DataFrame, top: Column, column: str = "requiredAndroidVersion") -> DataFrame:
-    """Major and minor number; unknown versions take ``top``, the most frequent ``d.d``."""
-    df = df.withColumn("_parts", parse.version_major_minor(F.coalesce(known_version(column), top)))
+    """Major and minor number; versions that are unknown or do not start with ``d.d`` (such
+    as ``10 and up``) take ``top``, the most frequent ``d.d``."""
+    head = parse.version_head(known_version(column))
+    df = df.withColumn("_parts", parse.version_major_minor(F.coalesce(head, top)))
     return df.withColumns({f"{column}_major": F.col("_parts.major"),
                            f"{column}_minor": F.col("_parts.minor")}).drop("_parts")
 

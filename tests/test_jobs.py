@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from storelab.operators import encode, models, tuning
 from storelab.plans import jobs, queries_models as q, tables
+from storelab.plans.registry import AS_OF
 from storelab.sources.apps import apps
 from storelab.session import scratch_path
 
@@ -63,3 +65,22 @@ def test_search_beats_nothing(spark):
     assert best.candidate == 1 and best.score_accuracy_test_mean == 1.0 and best.folds == 3
     preds = tuning.cross_val_predict(df, lambda: models.pipeline(dict(kind="tree", depth=2), ["a", "b"]), 3)
     assert preds.count() == 240 and preds.where("y_eval <> y_pred").count() == 0
+
+
+def test_repeated_ids_keep_every_row(spark, sf_dir):
+    learn = tables.learn_table(apps(spark, sf_dir, tables.LEARN_SOURCE), AS_OF)
+    twice = learn.unionAll(learn.orderBy("appId").limit(10)).unionAll(learn.orderBy("appId").limit(10))
+    made = jobs.model_table(twice, 3)
+    assert made.count() == learn.count() + 20
+    sizes = [r["count"] for r in made.groupBy("price_class", "fold").count().collect()]
+    assert max(sizes) - min(sizes) <= 2 + learn.count() // 12
+    most = made.groupBy("appId").count().agg({"count": "max"}).first()[0]
+    assert most == 3
+
+
+def test_later_versions_are_filled(spark):
+    rows = [("4.4 and up",), ("10 and up",), ("10.0 and up",), ("Varies with device",), (None,), ("2.3",)]
+    df = spark.createDataFrame(rows, "requiredAndroidVersion string")
+    out = tables.add_version_numbers(df, F.lit("4.1")).collect()
+    found = [(r.requiredAndroidVersion_major, r.requiredAndroidVersion_minor) for r in out]
+    assert found == [(4, 4), (4, 1), (4, 1), (4, 1), (4, 1), (2, 3)]

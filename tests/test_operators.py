@@ -288,3 +288,22 @@ def test_explained_variance(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(t, p)], "target double, predicted double")
     assert evaluate.explained_variance(df).first()[0] == pytest.approx(1 - np.var(t - p) / np.var(p))
     assert evaluate.explained_variance(df, swapped=False).first()[0] == pytest.approx(1 - np.var(t - p) / np.var(t))
+
+
+def test_join_groups_is_the_same_both_ways(spark, monkeypatch):
+    from storelab.operators import lookup
+    df = spark.createDataFrame([("hot", i) for i in range(500)] + [(None, 1), ("rare", 2), ("gone", 3)], "k string, v int")
+    groups = spark.createDataFrame([("hot", 1.0), ("rare", 2.0)], "k string, n double")
+    for how in ("inner", "left", "left_semi"):
+        small = sorted(map(str, lookup.join_groups(df, groups, "k", how).collect()))
+        monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+        assert sorted(map(str, lookup.join_groups(df, groups, "k", how).collect())) == small
+        monkeypatch.undo()
+        assert len(small) == (503 if how == "left" else 501)
+
+
+def test_vocabulary_is_not_cut(spark):
+    from storelab.operators.models import TfIdf
+    df = spark.range(300).select(F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999),
+                                             lambda x: x.cast("string")).alias("tokens"))
+    assert TfIdf().fit(df).stages[0].getOrDefault("vocabSize") == 300_000
