@@ -5,8 +5,9 @@ training documents are counted over the whole corpus; counts up to ``MAX_DISCOUN
 discounted by Good-Turing, the freed mass goes to one unknown word (unigrams) or to the
 words unseen after a context, in proportion to their unigram probability (bigrams). The
 backoff weight of a context is computed from all its successors, so each distribution sums
-to one. A context seen less than ``MIN_CONTEXT`` times stores no bigrams and backs off with
-weight one. A token is evaluated by its bigram or else recursively by its unigram.
+to one. Every context seen in training (``MIN_CONTEXT`` = 1 time or more) stores its bigrams;
+only one never seen there backs off with weight one. A token is evaluated by its bigram or
+else recursively by its unigram.
 
 How the counts move. Documents are encoded once into blocks: a sorted dictionary of word
 hashes and local numbers of the tokens. A block asks each hash range of a table once for
@@ -34,7 +35,7 @@ from storelab.llm.wordkit import Hasher, group_starts, mix64, parts, slices
 from storelab.session import cut
 
 MAX_DISCOUNTED = 5
-MIN_CONTEXT = 2
+MIN_CONTEXT = 1  # a higher number would prune counts
 BLOCK_BYTES = 6 << 20
 RANGE_WORDS = 2_000_000
 RANGE_PAIRS = 800_000
@@ -221,7 +222,7 @@ def _asked(b: dict, model: Model, ranges: int) -> tuple[np.ndarray, ...]:
     """The distinct bigrams of a block in the order in which they are asked for.
 
     Returns context, word (local numbers) and range of each, the place of each token's
-    bigram (-1: its context stores none), the training counts here, and which contexts are split.
+    bigram (-1: its context was not seen), the training counts here, and which contexts are split.
     """
     start = int(np.searchsorted(b["words"], START))
     seen = b["count"].copy()

@@ -297,6 +297,34 @@ def test_katz(request, table, monkeypatch):
                    max(freed[v], 0.5 / (context[v] + 1)) / (1 - mass[v]) * unknown) - 1) < 1e-9
 
 
+def test_katz_keeps_bigrams_of_contexts_seen_once(spark):
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(60) if i not in train)
+    texts = {train[0]: "rare word", train[1]: "word other"} | {i: "other word other" for i in train[2:9]}
+    df = spark.createDataFrame([*texts.items(), (held, "rare word")], "doc_id long, text string")
+    one, two, seen = Counter(), Counter(), Counter()
+    for t in texts.values():
+        w = [*t.split(), "<end>"]
+        one.update(w)
+        two.update(zip([None, *w], w))
+    for (v, _), c in two.items():
+        seen[v] += c
+    assert seen["rare"] == 1
+    d1, d2 = (katz.discounts([list(x.values()).count(r) for r in range(1, 7)]) for x in (one, two))
+    cut_down = lambda c, d: c * (d[c] if c <= 5 else 1)
+    n = sum(one.values())
+
+    def p(v, w):
+        own = {x: c for (a, x), c in two.items() if a == v}
+        freed = 1 - sum(cut_down(c, d2) for c in own.values()) / seen[v]
+        free = max(freed, 0.5 / (seen[v] + 1))
+        if w in own:
+            return cut_down(own[w], d2) / seen[v] * (1 - free) / (1 - freed)
+        return free / (1 - sum(cut_down(one[x], d1) / n for x in own)) * cut_down(one[w], d1) / n
+    got = next(r.score for r in katz.language_scores(df).collect() if r.held_out)
+    assert math.isclose(got, sum(math.log10(p(v, w)) for v, w in ((None, "rare"), ("rare", "word"), ("word", "<end>"))), rel_tol=1e-9)
+
+
 def test_classifier(spark, sf_dir, docs, edge):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.trained(docs, labels)
