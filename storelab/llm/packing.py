@@ -3,8 +3,8 @@
 A document's ids and one end id are cut into pieces of at most ``SEQUENCE`` ids; only
 longer documents are cut. Pieces are dealt by hash into groups of about ``GROUP_PIECES``.
 Each group is packed best fit, longest first, then improved: bins that are not full
-exchange one piece for one, one for two, two for one, or move a piece, whenever that
-raises the sum of squared fills, until the emptiest bins are empty or no exchange helps.
+exchange up to two pieces for up to two (or none) of any other such bin, whenever that
+raises the sum of squared fills, until no exchange helps or no packing has fewer bins.
 The poorly filled bins of all groups are packed again together, so many groups waste no
 more than few.
 
@@ -16,6 +16,7 @@ gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -29,7 +30,6 @@ from storelab.session import cut
 
 SEQUENCE = 4096
 GROUP_PIECES = 60_000
-PROBES = 32  # bins and lengths that a step tries for two-for-one exchanges
 POOR = 0.97  # bins filled less are packed again with those of other groups
 
 
@@ -84,100 +84,167 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def improved(lengths: np.ndarray, bins: list[list[int]], size: int, max_steps: int = 500) -> list[list[int]]:
-    """Raise the sum of squared fills by exchanges with the emptiest bin until none helps.
+def least_bins(lengths: np.ndarray, size: int) -> int:
+    """A number of bins that no packing gets below: the best of the total length and of the
+    dual feasible functions u(x) = floor((k + 1) x) / k, where (k + 1) x is no whole number."""
+    distinct, n = np.unique(lengths, return_counts=True)
+    best = -(-int(lengths.sum()) // size)
+    for k in range(1, 101):
+        up = (k + 1) * distinct
+        whole = up % size == 0
+        exact, steps = int((distinct * n)[whole].sum()), int((up // size * n)[~whole].sum())
+        best = max(best, -(-(exact * k + steps * size) // (size * k)))
+    return best
 
-    Stops at the fewest bins that the total length allows, or after ``max_steps``
-    exchanges, which bounds the effort and leaves a valid packing.
+
+class _Open:
+    """The open bins by room and by the sums of one or two of their pieces.
+
+    Pieces of one length are interchangeable, so a bin is the sorted tuple of its lengths
+    and equal bins are one entry. ``below[r, i]`` is the number of sums less than i that the
+    bins with room r offer (0 stands for no piece), so any window of sums is two lookups.
     """
-    least = -(-int(lengths.sum()) // size)
-    fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
-    members = [list(b) for b in bins]
-    item = np.concatenate([np.array(b, np.int64) for b in members]) if members else np.zeros(0, np.int64)
-    where = np.empty(len(lengths), np.int64)
-    for b, own in enumerate(members):
-        where[own] = b
-    open_items = item[fill[where[item]] < size]
-    n_bins, steps, stuck = len(bins), 0, set()
-
-    def place(i: int, b: int) -> None:
-        a = where[i]
-        members[a].remove(i)
-        members[b].append(i)
-        fill[a] -= lengths[i]
-        fill[b] += lengths[i]
-        where[i] = b
-
-    while n_bins > least and steps < max_steps:
-        candidates = [b for b in np.argsort(fill, kind="stable")[: len(stuck) + len(bins) - n_bins + 1].tolist()
-                      if members[b] and b not in stuck and fill[b] < size]
-        if not candidates:
-            break
-        a, helped = candidates[0], False
-        room = size - fill
-        room[a] = -1
-        # pieces of one length are interchangeable: one of each is tried
-        for k, x in enumerate({int(lengths[i]): i for i in sorted(members[a], key=lambda i: -lengths[i])}.values()):
-            fits = np.flatnonzero((room >= lengths[x]) & (fill > 0))
-            if len(fits):
-                place(x, int(fits[np.argmin(room[fits])]))
-                helped = True
-                break
-            gain = lengths[x] - lengths[open_items]
-            ok = np.flatnonzero((gain > 0) & (gain <= room[where[open_items]]))
-            ok = ok[fill[where[open_items[ok]]] + gain[ok] > fill[a]] if len(ok) else ok
-            if len(ok):
-                y = int(open_items[ok[np.argmax(gain[ok])]])
-                b = int(where[y])
-                place(x, b)
-                place(y, a)
-                helped = True
-                break
-            if k < PROBES and _two_for_one(lengths, members, fill, room, x, a, place):
-                helped = True
-                break
-        steps += 1
-        if not members[a]:
-            n_bins -= 1
-        if helped:
-            stuck.clear()
-        else:
-            stuck.add(a)
-    return [b for b in members if b]
 
+    def __init__(self, size: int):
+        self.size = size
+        self.sums: dict[tuple, dict[int, tuple]] = {}
+        self.by_room: dict[int, dict[tuple, None]] = {}
+        self.offers = np.zeros((size + 1, size + 1), np.int32)
+        self.below = np.zeros((size + 1, size + 2), np.int16)
+        self.n_entries = np.zeros(size + 1, np.int64)
 
-def _two_for_one(lengths, members, fill, room, x: int, a: int, place) -> bool:
-    """Swap x of bin a for two pieces of another bin, or x and another of a for one.
+    def room(self, entry: tuple) -> int:
+        return self.size - sum(entry)
 
-    Looks into the ``PROBES`` roomiest bins, which bounds the effort of a step; within a
-    bin the second piece is found by binary search in the sorted lengths."""
-    partners = np.array(sorted((i for i in members[a] if i != x), key=lambda i: lengths[i]), np.int64)
-    roomy = np.flatnonzero(room > 0)
-    for b in roomy[np.argsort(-room[roomy], kind="stable")][:PROBES].tolist():
-        own = np.array(members[b], np.int64)
-        own = own[np.argsort(lengths[own], kind="stable")]
-        n = lengths[own]
-        least = max(1, int(fill[a] - fill[b]) + 1)  # the squares rise from this gain on
-        # the longest second piece that leaves such a gain
-        z = np.searchsorted(n, lengths[x] - least - n, "right") - 1
-        i = np.flatnonzero(z > np.arange(len(n)))
-        i = i[lengths[x] - n[i] - n[z[i]] <= room[b]]
-        if len(i):
-            place(x, b)
-            place(int(own[i[0]]), a)
-            place(int(own[z[i[0]]]), a)
-            return True
-        if len(partners):
-            # the longest partner that bin b has room for
-            w = np.searchsorted(lengths[partners], n + room[b] - lengths[x], "right") - 1
-            i = np.flatnonzero(w >= 0)
-            i = i[lengths[x] + lengths[partners[w[i]]] - n[i] >= least]
-            if len(i):
-                place(x, b)
-                place(int(partners[w[i[0]]]), b)
-                place(int(own[i[0]]), a)
-                return True
-    return False
+    def _change(self, entry: tuple, by: int) -> None:
+        r = self.room(entry)
+        self.offers[r, np.fromiter(self.sums[entry], np.int64)] += by
+        self.n_entries[r] += by
+        np.cumsum(self.offers[r] > 0, out=self.below[r, 1:])
+
+    def add(self, entry: tuple) -> None:
+        distinct = sorted(set(entry))
+        sums = {0: ()}
+        for i, x in enumerate(distinct):
+            for y in distinct[i:]:
+                if x < y or entry.count(x) > 1:
+                    sums[x + y] = (x, y)
+        self.sums[entry] = sums | {x: (x,) for x in distinct}
+        self.by_room.setdefault(self.room(entry), {})[entry] = None
+        self._change(entry, 1)
+
+    def drop(self, entry: tuple) -> None:
+        self._change(entry, -1)
+        del self.by_room[self.room(entry)][entry], self.sums[entry]
+
+    def exchange(self, entry: tuple, sums: dict[int, tuple]):
+        """The other bin, what ``entry`` passes to it and what it gets, or None.
+
+        A net length g that passes from fill p to fill q raises the squares if q + g > p.
+        """
+        rooms = np.flatnonzero(self.n_entries)
+        own = np.fromiter(sums, np.int64)
+        fill, room = self.size - self.room(entry), self.room(entry)
+        for gives in (True, False):
+            if gives:
+                mine = own[own > 0][:, None]
+                least, most = np.maximum(1, fill - self.size + rooms + 1), rooms
+                low, high = mine - most, mine - least
+                most = np.minimum(mine, most)
+                rise = most * (self.size - rooms - fill + most)
+            else:
+                mine = own[:, None]
+                least = np.maximum(1, self.size - rooms - fill + 1)
+                low, high = mine + least, np.broadcast_to(mine + room, (len(own), len(rooms)))
+                rise = np.broadcast_to(room * rooms, low.shape)
+            low, end = np.clip(low, 0, self.size + 1), np.clip(high + 1, 0, self.size + 1)
+            hits = (end > low) & (self.below[rooms, end] > self.below[rooms, low])
+            if hits.any():
+                at, k = np.unravel_index(np.argmax(np.where(hits, rise, -1)), hits.shape)
+                row, a, b = self.below[rooms[k]], low[at, k], end[at, k]
+                # the most net length: the least sum in the window to get, the largest one to pass
+                other = int(np.searchsorted(row, row[a], "right") if gives else np.searchsorted(row, row[b], "left")) - 1
+                partner = next(e for e in self.by_room[int(rooms[k])] if other in self.sums[e])
+                return partner, sums[int(mine[at, 0])], self.sums[partner][other]
+        return None
+
+
+def _swapped(entry: tuple, out: tuple, into: tuple) -> tuple:
+    left = list(entry)
+    for x in out:
+        left.remove(x)
+    return tuple(sorted([*left, *into]))
+
+
+def improved(lengths: np.ndarray, bins: list[list[int]], size: int) -> list[list[int]]:
+    """Raise the sum of squared fills by exchanges of up to two pieces for up to two until none helps.
+
+    Each open bin is compared with all others, both ways; after an exchange only the two new
+    bins are. Ends early at a number of bins that no packing gets below. Every exchange
+    raises a bounded sum of whole numbers, so the search ends.
+    """
+    least = least_bins(lengths, size)
+    n_bins = len(bins)
+    number: dict[tuple, int] = {}
+    for own in bins:
+        entry = tuple(sorted(lengths[own].tolist()))
+        number[entry] = number.get(entry, 0) + 1
+    open_bins, waiting = _Open(size), []
+    if n_bins > least:
+        for entry in number:
+            if sum(entry) < size:
+                open_bins.add(entry)
+                waiting.append((sum(entry), entry))
+    heapq.heapify(waiting)
+
+    def count(entry: tuple, by: int) -> None:
+        n = number.get(entry, 0) + by
+        number[entry] = n
+        if sum(entry) < size:
+            if by > 0 and n == by:
+                open_bins.add(entry)
+            if by < 0 and n == 0:
+                open_bins.drop(entry)
+            if by > 0 and n - by < 2:  # a new bin, or two equal bins, which may help each other
+                heapq.heappush(waiting, (sum(entry), entry))
+        if not n:
+            del number[entry]
+
+    while n_bins > least and waiting:
+        _, entry = heapq.heappop(waiting)
+        if entry not in number:
+            continue
+        sums, alone = open_bins.sums[entry], number[entry] == 1
+        if alone:
+            open_bins.drop(entry)  # a bin is no partner of itself
+        found = open_bins.exchange(entry, sums)
+        if alone:
+            open_bins.add(entry)
+        if found is None:
+            continue
+        partner, out, into = found
+        # equal pairs of bins make the same exchange
+        times = number[entry] // 2 if partner == entry else min(number[entry], number[partner])
+        for old, new in ((entry, _swapped(entry, out, into)), (partner, _swapped(partner, into, out))):
+            count(old, -times)
+            if new:
+                count(new, times)
+            else:
+                n_bins -= times
+        if entry in number:
+            heapq.heappush(waiting, (sum(entry), entry))
+
+    order = np.argsort(lengths, kind="stable")
+    first = np.searchsorted(lengths[order], np.arange(size + 2)).tolist()
+    items = order.tolist()
+    result = []
+    for entry, n in number.items():
+        for _ in range(n):
+            result.append([])
+            for x in entry:
+                result[-1].append(items[first[x]])
+                first[x] += 1
+    return result
 
 
 def pack_group(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties and empty tables."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -223,6 +224,32 @@ def test_improved_packing_never_needs_more():
     assert len(packing.improved(np.array([6, 4, 5, 5, 5, 5]), [[0], [1], [2], [3, 4], [5]], 10)) == 3
 
 
+def test_packing_improves_until_no_exchange_helps():
+    assert len(packing.improved(np.full(4000, 5), [[i] for i in range(4000)], 10)) == 2000
+    # best fit needs 11 bins where 9 do: halves, quarters and a little more or less
+    lengths = np.repeat([2058, 1044, 1034, 1004], [6000, 6000, 6000, 12000])
+    before = packing.best_fit(lengths, 4096)
+    after = packing.improved(lengths, before, 4096)
+    assert len(before) == 11_000 and len(after) <= 9100
+    assert sorted(i for b in after for i in b) == list(range(len(lengths))) and max(lengths[b].sum() for b in after) <= 4096
+    small = np.random.default_rng(3).integers(20, 50, 40)
+    bins = packing.improved(small, packing.best_fit(small, 100), 100)
+    fills = [small[b].sum() for b in bins]
+    some = [[(), *((i,) for i in b), *((i, j) for i in b for j in b if i < j)] for b in bins]
+    moved = [(fills[a], fills[b], small[list(x)].sum() - small[list(y)].sum()) for a in range(len(bins)) for b in range(len(bins))
+             if a != b for x in some[a] for y in some[b]]
+    assert len(bins) == packing.least_bins(small, 100) or not any(0 < g <= 100 - q and q + g > p for p, q, g in moved)
+
+
+def test_least_bins_is_a_bound():
+    assert packing.least_bins(np.full(10, 4), 10) == 5 and packing.least_bins(np.full(9, 51), 100) == 9
+    for seed in range(40):
+        lengths = np.random.default_rng(seed).integers(1, 21, 8)
+        bins = min(len({*p}) for p in itertools.product(range(4), repeat=8)
+                   if max(np.bincount(p, lengths)) <= 20) if lengths.sum() <= 60 else 8
+        assert packing.least_bins(lengths, 20) <= bins
+
+
 @pytest.mark.parametrize("table", ["edge", "docs"])
 def test_edit_likeness(request, table):
     df = request.getfixturevalue(table)
