@@ -22,6 +22,7 @@ extra columns are not read. ``doc_id`` is an integer.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,9 @@ def span(grid: int) -> int:
 
 
 def grid_of(n_chars: int) -> int:
-    """The least grid whose span holds the 2 n steps that a walk takes on average."""
-    grid = 0
-    while span(grid) < 2 * n_chars:
+    """The least grid whose span holds a walk: 2 n steps on average, and six deviations more."""
+    grid, steps = 0, 2 * n_chars + 6 * math.sqrt(2 * n_chars)
+    while span(grid) < steps:
         grid += 1
     return grid
 

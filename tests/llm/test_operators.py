@@ -278,6 +278,18 @@ def test_walks_meet_again():
     assert edit_embedding.likeness(a, b, ladder) > 0.7 > 0.1 > edit_embedding.likeness(a, c, ladder)
 
 
+@pytest.mark.parametrize("n", [48, 72, 108, 162, 1229, 1843])
+def test_walks_reach_the_end_of_the_text(n):
+    for seed in range(30):
+        text = prose(n, seed)[:n]
+        place, t = 0, 0
+        keys = edit_embedding._walk_keys(8 * n + 1000).tolist()
+        while place < n:
+            place += (((ord(text[place]) * edit_embedding._A & edit_embedding._ALL) ^ keys[t]) * edit_embedding._B & edit_embedding._ALL) >> 63
+            t += 1
+        assert t <= edit_embedding.span(edit_embedding.grid_of(n))
+
+
 def test_near_pairs(spark):
     text = prose(300, 1)
     df = spark.createDataFrame([(1, text), (2, text[:700] + "QQ" + text[702:]), (3, prose(300, 2)), (4, text), (5, None)], "doc_id long, text string")
