@@ -32,12 +32,11 @@ WORD_LIST = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-# A short text has a noisy histogram: below these lengths there is no verdict on it, and
-# the limit on the class distance is FLOOR + SLACK / sqrt(n_words).
-MIN_WORDS_FOR_CLASSES = 40
-MIN_WORDS_FOR_COMMON = 200
+# A short text has a noisy histogram: below this length there is no verdict on it, and the
+# limit on a distance is FLOOR + SLACK / sqrt(n_words).
+MIN_WORDS_FOR_DISTANCES = 40
 CLASS_FLOOR, CLASS_SLACK = 0.15, 0.55
-MAX_COMMON_DISTANCE = 0.325
+COMMON_FLOOR, COMMON_SLACK = 0.16, 1.2
 
 CLASSES = ["lower", "upper", "digit", "blank", "line", "sentence", "symbol", "accented",
            "two_bytes", "three_bytes", "four_bytes", "control"]
@@ -194,11 +193,11 @@ def judged(measured: pa.RecordBatch, tables: list) -> tuple[np.ndarray, np.ndarr
     words = measured.column("n_words").to_numpy()
     by_class = np.min([distances(a, x) for x, _ in tables], axis=0) if tables else np.zeros(n)
     by_common = np.min([distances(b, y) for _, y in tables], axis=0) if tables else np.zeros(n)
-    by_class = np.where(words >= MIN_WORDS_FOR_CLASSES, by_class, 0.0)
-    by_common = np.where(words >= MIN_WORDS_FOR_COMMON, by_common, 0.0)
+    by_class, by_common = (np.where(words >= MIN_WORDS_FOR_DISTANCES, x, 0.0) for x in (by_class, by_common))
     failed = (words < MIN_WORDS) | (100 * measured.column("n_repeat_words").to_numpy() > MAX_REPEAT_PERCENT * words)
-    limit = CLASS_FLOOR + CLASS_SLACK / np.sqrt(np.maximum(words, 1))
-    return by_class, by_common, failed, ~failed & (by_class <= limit) & (by_common <= MAX_COMMON_DISTANCE)
+    root = np.sqrt(np.maximum(words, 1))
+    near = (by_class <= CLASS_FLOOR + CLASS_SLACK / root) & (by_common <= COMMON_FLOOR + COMMON_SLACK / root)
+    return by_class, by_common, failed, ~failed & near
 
 
 def _tables(refs: dict[str, tuple[list[float], list[float]]]) -> list:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from storelab.llm import (edit_embedding, katz, mixing, near_dedup, packing, quality_classifier, quality_rules, rollups,
@@ -87,6 +88,23 @@ def test_divergence():
     assert np.allclose(quality_rules.distances(a, np.array([0.5, 0.5, 0])), [0, 1, 0])
 
 
+def test_common_words_judge_texts_of_any_length_from_40():
+    n_common = len(quality_rules.WORD_LIST) + 1
+    classes = [3] * len(quality_rules.CLASSES)
+    reference = np.r_[np.full(n_common - 1, 0.4 / (n_common - 1)), 0.6]
+    tables = [(np.full(len(classes), 1 / len(classes)), reference)]
+
+    def kept(n, listed):
+        # listed: number of words of the text that are the common words in turn
+        common = [listed // (n_common - 1) + (k < listed % (n_common - 1)) for k in range(n_common - 1)] + [n - listed]
+        batch = pa.RecordBatch.from_pydict({
+            "n_words": [n], "n_repeat_words": [0], "classes": pa.array([classes], pa.list_(pa.int64())),
+            "common": pa.array([common], pa.list_(pa.int64()))})
+        return bool(quality_rules.judged(batch, tables)[3][0])
+    assert [kept(n, 0) for n in (39, 80, 150, 199, 200, 5000)] == [True, False, False, False, False, False]
+    assert kept(5000, 2000) and not kept(5000, 400)
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
