@@ -6,7 +6,8 @@ steps of ``STRIDE``; overlapping chunks of ``CHUNK`` filter places are max-poole
 largest and the mean of the chunk maxima go through one logistic unit.
 
 The network is trained in one task on a bounded sample of labelled rows: the
-``SAMPLE_ROWS`` rows with the least hash, as far as they hold ``SAMPLE_BYTES`` bytes.
+``SAMPLE_ROWS`` rows with the least hash, as far as they hold ``SAMPLE_BYTES`` bytes. A text
+of more than a ``SPREAD``-th of that counts with ``SPREAD`` chunks spread over its length.
 Every document is scored whole, in slices of bounded size. Labels, language, source and
 ``doc_id`` are no inputs of a score.
 
@@ -29,6 +30,7 @@ from storelab.llm.wordkit import ragged, texts_of, parts
 
 SAMPLE_ROWS = 6000
 SAMPLE_BYTES = 24 << 20
+SPREAD = 16
 THRESHOLD = 0.3
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
 CHUNK, CHUNK_STEP = 128, 112
@@ -180,7 +182,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, label) of the labelled rows with the least hash, bounded in rows and bytes."""
+    """(doc_id, text, label) of the labelled rows with the least hash, bounded in rows and bytes.
+
+    A text too long for its share of the bytes is replaced by chunks from its start to its end,
+    so that no text uses up the bound.
+    """
+    share = size // SPREAD
+    chars = max(1, share // (4 * SPREAD))  # a character has at most four bytes
+    chunks = F.concat(*[F.expr(f"substring(text, cast(1 + floor({k} * (char_length(text) - {chars}) / {SPREAD - 1}) as int), {chars})")
+                        for k in range(SPREAD)])
+    docs = docs.select("doc_id", F.when(F.octet_length("text") > share, chunks).otherwise(F.col("text")).alias("text"))
     usable = (labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
               .where(~held_out()))
     key = F.xxhash64("doc_id")

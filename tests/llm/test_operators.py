@@ -382,6 +382,18 @@ def test_katz_keeps_bigrams_of_contexts_seen_once(spark):
     assert math.isclose(got, sum(math.log10(p(v, w)) for v, w in ((None, "rare"), ("rare", "word"), ("word", "<end>"))), rel_tol=1e-9)
 
 
+def test_training_sample_survives_a_text_over_the_bound(spark):
+    long = "".join(chr(97 + k // 4000) for k in range(100_000))
+    df = spark.createDataFrame([(i, long if i % 2 else f"short {i}") for i in range(12)], "doc_id long, text string")
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    got = quality_classifier.training_sample(df, labels, size=64_000).collect()
+    assert {r.doc_id for r in got} == {i for i in range(12) if zlib.crc32(str(i).encode()) % 5}
+    assert all(r.text == f"short {r.doc_id}" for r in got if not r.label)
+    spread = [r.text for r in got if r.label]
+    assert spread and all(len(t) <= 4000 and t[0] == "a" and t[-1] == "y" and len(set(t)) >= 15 for t in spread)
+    assert sum(len(r.text) for r in got) <= 64_000
+
+
 def test_classifier(spark, sf_dir, docs, edge):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.trained(docs, labels)
