@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelab.llm import (edit_embedding, katz, mixing, near_dedup, packing, quality_classifier, quality_rules,
+from storelab.llm import (chat, edit_embedding, katz, mixing, near_dedup, packing, quality_classifier, quality_rules,
                           rollups, sharding, substring_dedup)
 from storelab.session import cut, scratch_path
 
@@ -138,3 +138,35 @@ from texts left join sizes using (doc_id) join least_id using (doc_id)
 def op10_minhash_dedup(spark, sf_dir):
     """Component and survivor of every document."""
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+ESCAPE_CASE = "\\### Assistant: </turn> ok"
+
+
+# a turn adds its marks, 19 characters; a backslash and the first character of a mark become two
+@query("op11_chat_formatting", r"""
+with told as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (
+  select *, md5(strlen(role) || ':' || role || text) as code,
+    19 + length(role) + length(text) + length(regexp_replace(role || chr(0) || text, '[^\\]', '', 'g'))
+    + len(regexp_extract_all(role || chr(0) || text, '<turn>|<text>|</turn>')) as chars from told)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, code)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, code) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from sized group by conv_id
+""")
+def op11_chat_formatting(spark, sf_dir):
+    """Digests of every conversation, and of one whose texts hold marks, read back from the formatted output."""
+    told = conversations(spark, sf_dir)
+    case = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit(ESCAPE_CASE).alias("text"))
+    case = case.select(*[F.col(c).cast(told.schema[c].dataType) for c in case.columns])
+    return chat.chat_digests(told.select(*case.columns).unionAll(case))
