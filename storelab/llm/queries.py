@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelab.llm import (chat, edit_embedding, katz, mixing, near_dedup, packing, quality_classifier, quality_rules,
-                          rollups, sharding, substring_dedup)
+from storelab.llm import (chat, edit_embedding, katz, mixing, near_dedup, packing, prefix_trie, quality_classifier, quality_rules,
+                          rollups, sharding, substring_dedup, va_clustering)
 from storelab.session import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,70 @@ def op11_chat_formatting(spark, sf_dir):
                                  F.lit(ESCAPE_CASE).alias("text"))
     case = case.select(*[F.col(c).cast(told.schema[c].dataType) for c in case.columns])
     return chat.chat_digests(told.select(*case.columns).unionAll(case))
+
+
+@query("op12_prefix_trie", r"""
+with turns as (
+  select conv_id, code, chars, row_number() over (partition by conv_id order by turn nulls first, code) as pos from (
+    select conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as code, length(coalesce(text, '')) as chars
+    from conversations where conv_id is not null)),
+heads as (
+  select conv_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+      lambda r, z: case when r & 1 = 1 then xor(r >> 1, 3988292384::bigint) else r >> 1 end)), 4294967295::bigint) % 6 as h
+  from (select distinct conv_id from turns)),
+made as (
+  select c.conv_id, pos, code, chars from heads c join turns t on t.conv_id = c.conv_id - c.conv_id % 100 and pos <= h
+  union all select c.conv_id, pos, code, chars from heads c join turns t on t.conv_id = c.conv_id and pos > h),
+prefixes as (
+  select conv_id, row_number() over w as d, chars, sha256(string_agg(code, '') over w) as k from made window w as (partition by conv_id order by pos)
+  union all select conv_id, 0, 0, '' from heads),
+nodes as (select d, k, min(conv_id) as conv_id, count(*) as n, any_value(chars) as chars from prefixes group by d, k),
+linked as (
+  select v.*, p.conv_id as parent_conv_id from nodes v left join prefixes x on x.conv_id = v.conv_id and x.d = v.d - 1
+  left join nodes p on p.d = x.d and p.k = x.k),
+children as (select parent_conv_id as conv_id, d - 1 as d, count(*) as n_children from linked where d > 0 group by 1, 2),
+counted as (select linked.*, coalesce(n_children, 0) as n_children from linked left join children using (conv_id, d)),
+sums as (
+  select a.d, a.k, count(*) filter (v.n_children = 0) as n_leaves, sum((v.n - 1) * v.chars) as saved
+  from counted v join prefixes x on x.conv_id = v.conv_id and x.d <= v.d join nodes a on a.d = x.d and a.k = x.k group by 1, 2),
+lasts as (select conv_id, max(d) as d from prefixes group by 1),
+ends as (select d, k, string_agg(conv_id::varchar, ',' order by conv_id) as ids from prefixes join lasts using (conv_id, d) group by 1, 2)
+select conv_id, d as depth, parent_conv_id, n as n_convs, n_children, n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from counted join sums using (d, k) left join ends using (d, k)
+""")
+def op12_prefix_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.conversation_trie(conversations(spark, sf_dir))
+
+
+def _round_sql(i: int) -> str:
+    """Assignment and new centroids of round ``i``."""
+    return f"""
+a{i} as materialized (
+  select vec_id, x, arg_min(n, (list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, n)) as n
+  from kept, c{i} group by vec_id, x),
+s{i} as (
+  select n, list(m order by j) as c from (
+    select n, j, (sum(x[j])::bigint - ((sum(x[j])::bigint % count(*)) + count(*)) % count(*)) // count(*) as m
+    from a{i}, (select unnest(range(1, 65)) as j) group by n, j) group by n),
+c{i + 1} as materialized (select n, coalesce(s{i}.c, c{i}.c) as c from c{i} left join s{i} using (n)),"""
+
+
+@query("op13_va_clustering", """
+with kept as materialized (
+  select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0),
+c0 as materialized (
+  select row_number() over (order by h) - 1 as n, x as c from (select x, sha256('2:' || vec_id) as h from kept order by h limit 40)),"""
+       + "".join(map(_round_sql, range(5))) + """
+ended as materialized (
+  select vec_id, min((d, n)) as b from (
+    select vec_id, n, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from kept, c5) group by vec_id)
+select vec_id, b[2]::int as cluster, b[1] as distance, sum(b[1]) over (partition by b[2])::bigint as cluster_inertia,
+  sum(b[1]) over ()::bigint as inertia, sha256(array_to_string(c5.c, ',')) as centroid_sha256
+from ended join c5 on c5.n = b[2]
+""")
+def op13_va_clustering(spark, sf_dir):
+    """Cluster and distance of every vector after five rounds."""
+    return va_clustering.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
