@@ -221,6 +221,35 @@ def test_neighbours(spark, block_rows):
         assert [n for _, n in sorted(found[i])] == [j + 60 for j in best]
 
 
+def test_neighbours_skip_far_cells(spark):
+    """In separate clumps most cells are left out, and what is found equals a full search."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 20, (12, 3))
+    v = np.concatenate([centres[i % 12] + rng.normal(0, 1, (1, 3)) for i in range(900)])
+    df = spark.createDataFrame([(i, v[i].tolist(), i % 4) for i in range(900)], "id int, v array<double>, y int")
+    train, test = df.where("id >= 100"), df.where("id < 100")
+    index = knn.PivotIndex(train, "id", "v", "y", block_rows=50, pivots=40)
+    rows = test.select(F.col("id").alias("row"), "v")
+    first = index.first_visits(rows, 5).count()
+    found = {}
+    for r in index.search(test, "id", "v", 5).collect():
+        found.setdefault(r.row, []).append((r.rank, r.near, r.distance))
+    for i in range(100):
+        d = np.sqrt(((v[100:] - v[i]) ** 2).sum(1))
+        best = sorted(range(800), key=lambda j: (d[j], j))[:5]
+        assert [n for _, n, _ in sorted(found[i])] == [j + 100 for j in best]
+    bounds = spark.createDataFrame([(i, max(x[2] for x in found[i])) for i in found], "row int, bound double")
+    further = index.further_visits(rows.join(bounds, "row"), 5).count()
+    assert first + further < 0.25 * 100 * len(index.pivots)
+
+
+def test_neighbours_of_few_rows(spark):
+    df = spark.createDataFrame([(i, [float(i)], i) for i in range(3)], "id int, v array<double>, y int")
+    assert knn.neighbours(df, df, 5, "id", "v", "y").count() == 9
+    assert knn.neighbours(df.where("id > 9"), df, 5, "id", "v", "y").count() == 0
+    assert knn.neighbours(df, df.where("id > 9"), 5, "id", "v", "y").count() == 0
+
+
 # --- scores against published tables ------------------------------------------------
 
 # Published predictions of the baseline, as (target, prediction): rows.
