@@ -247,11 +247,12 @@ def _by_vectors(fetched: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def _changes(made: DataFrame, k: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = (made.where("kind = 'sum'").select("cluster", "n", F.posexplode("sums").alias("dim", "total"))
-            .groupBy("cluster", "dim").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect())
+    """Counts and sums by cluster: one row per task and cluster is read, one per cluster collected."""
+    rows = (made.where("kind = 'sum'").groupBy("cluster")
+            .agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(dims)]).alias("totals")).collect())
     counts, sums = np.zeros(k, np.int64), np.zeros((k, dims), np.int64)
     for r in rows:
-        counts[r.cluster], sums[r.cluster, r.dim] = r.n, r.total
+        counts[r.cluster], sums[r.cluster] = r.n, r.totals
     return counts, sums
 
 
