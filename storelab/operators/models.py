@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 
-from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import (Binarizer, CountVectorizer, ElementwiseProduct, HashingTF, IDF,
-                                Normalizer, SQLTransformer, StringIndexer, VectorAssembler)
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import Binarizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -23,11 +21,11 @@ from storelab import constants as K
 from storelab.operators.ordered import mode_rows
 from storelab.operators.profile import class_balance
 from storelab.operators.split import share_of
+from storelab.operators.terms import TermBayes, TermNeighbours, TfIdf, VectorNeighbours
 from storelab.operators.text import doc_frequency
+from storelab.session import cut
 
 MAX_BINS = 256
-# A fitted vocabulary is held by the driver; beyond this many tokens a fit is refused, never cut.
-MAX_VOCABULARY = 20_000_000
 
 
 def add_label(df: DataFrame, target: str = "price_class") -> DataFrame:
@@ -38,48 +36,6 @@ def add_prediction_class(df: DataFrame, name: str = "y_pred") -> DataFrame:
     return df.withColumn(name, (F.col("prediction") + 1).cast("int"))
 
 
-class TfIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """TF-IDF of an array of tokens: tf * (ln((1+n)/(1+df)) + 1), scaled to length 1.
-
-    Document shares ``minDF`` and ``maxDF`` bound the vocabulary that is kept. With
-    ``hashed`` tokens go to a fixed number of slots instead, for open vocabularies.
-    """
-
-    minDF = Param(Params._dummy(), "minDF", "least share of documents", TypeConverters.toFloat)
-    maxDF = Param(Params._dummy(), "maxDF", "largest share of documents", TypeConverters.toFloat)
-    binary = Param(Params._dummy(), "binary", "count a token once per document", TypeConverters.toBoolean)
-    hashed = Param(Params._dummy(), "hashed", "slots for hashed tokens, 0 for a vocabulary",
-                   TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol="tokens", outputCol="features", minDF=0.0, maxDF=1.0,
-                 binary=False, hashed=0):
-        super().__init__()
-        self._setDefault(inputCol="tokens", outputCol="features", minDF=0.0, maxDF=1.0,
-                         binary=False, hashed=0)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
-        get = self.getOrDefault
-        tf, raw, out = f"{get('outputCol')}_tf", f"{get('outputCol')}_raw", get("outputCol")
-        if get("hashed"):
-            counter = HashingTF(inputCol=get("inputCol"), outputCol=tf, numFeatures=get("hashed"),
-                                binary=get("binary"))
-        else:
-            n_tokens = kept_tokens(dataset, get("inputCol"), get("minDF"), get("maxDF")).count()
-            if not n_tokens:
-                raise ValueError(f"no token is in {get('minDF')} to {get('maxDF')} of the documents; "
-                                 "widen the limits")
-            if n_tokens > MAX_VOCABULARY:
-                raise ValueError(f"{n_tokens} tokens are too many for a vocabulary; narrow the limits or hash")
-            counter = CountVectorizer(inputCol=get("inputCol"), outputCol=tf, binary=get("binary"), vocabSize=n_tokens,
-                                      minDF=_share(get("minDF")), maxDF=_share(get("maxDF"))).fit(dataset)
-        idf = IDF(inputCol=tf, outputCol=raw).fit(counter.transform(dataset))
-        weights = Vectors.dense(idf.idf.toArray() + 1.0)
-        return PipelineModel([counter, ElementwiseProduct(inputCol=tf, outputCol=raw, scalingVec=weights),
-                              Normalizer(inputCol=raw, outputCol=out, p=2.0)])
-
-
 def kept_tokens(docs: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """The tokens within the document shares."""
     pairs = docs.select(F.explode(F.array_distinct(column)).alias("token"))
@@ -91,11 +47,6 @@ def has_tokens(docs: DataFrame, column: str, low: float, high: float) -> bool:
     return kept_tokens(docs, column, low, high).limit(1).count() > 0
 
 
-def _share(value: float) -> float:
-    """A share just below 1, since a limit of 1.0 would be read as one document."""
-    return min(value, 0.9999999999)
-
-
 def classifier(spec: dict, features: str = "features", prediction: str = "prediction",
                seed: int = 25) -> list:
     """Stages for a model named by ``spec['kind']``; the other entries are its parameters."""
@@ -139,6 +90,8 @@ def _classifier(spec: dict, features: str, seed: int) -> list:
         base = LinearSVC(**common, regParam=1.0 / get("cost", 10.0), maxIter=get("iterations", 50),
                          tol=get("tol", 0.01))
         return [OneVsRest(classifier=base, parallelism=4, **common)]
+    if kind == "knn":
+        return [VectorNeighbours(inputCol=features, labelCol="label", k=get("k", 10), weights=get("weights", "uniform"))]
     if kind == "mlp":
         return [MultilayerPerceptronClassifier(**common, layers=get("layers"), seed=seed,
                                                maxIter=get("iterations", 50))]
@@ -192,43 +145,63 @@ def numeric_stages(numeric: Sequence[str], categorical: Sequence[str], output: s
                                     outputCol=output)]
 
 
-class TextPrediction(Estimator):
-    """Adds the class that a text model predicts as the column ``textFeaturePrediction``.
+def text_classifier(spec: dict, limits: dict, prediction: str = "prediction") -> list:
+    """Stages from a column of tokens to a class. Naive Bayes and neighbours read the terms
+    themselves, other models read TF-IDF vectors."""
+    limits, get = dict(limits), spec.get
+    if spec["kind"] == "multinomial":
+        return [TermBayes(predictionCol=prediction, smoothing=get("smoothing", 1.0), **limits)]
+    if spec["kind"] == "knn":
+        return [TermNeighbours(predictionCol=prediction, k=get("k", 10), weights=get("weights", "uniform"), keyCol=get("key", ""), **limits)]
+    return [TfIdf(outputCol="text_features", **limits), *classifier(spec, "text_features", prediction)]
+
+
+class TextPrediction(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds the class that a text model predicts as the column ``name``.
 
     Several candidate models may be given; the one with the best accuracy on the
     training rows is kept. A subset may have no token within the limits; with
     ``allow_empty`` every row then gets the most frequent class.
     """
 
+    specs = Param(Params._dummy(), "specs", "candidate models, as JSON", TypeConverters.toString)
+    limits = Param(Params._dummy(), "limits", "limits of the vocabulary, as JSON", TypeConverters.toString)
+    outputName = Param(Params._dummy(), "outputName", "the new column", TypeConverters.toString)
+    allowEmpty = Param(Params._dummy(), "allowEmpty", "whether no token may be left", TypeConverters.toBoolean)
+
     def __init__(self, specs: Sequence[dict] = (dict(kind="gbt", rate=0.1, trees=100, depth=7),),
                  tfidf: dict | None = None, name: str = "textFeaturePrediction",
                  allow_empty: bool = False):
         super().__init__()
-        self.allow_empty = allow_empty
-        self.specs, self.name = [dict(s) for s in specs], name
-        self.tfidf = dict(minDF=0.25, maxDF=0.6) if tfidf is None else dict(tfidf)
+        limits = dict(minDF=0.25, maxDF=0.6) if tfidf is None else dict(tfidf)
+        self._set(specs=json.dumps([dict(s) for s in specs]), limits=json.dumps(limits), outputName=name, allowEmpty=allow_empty)
+
+    @property
+    def name(self) -> str:
+        return self.getOrDefault("outputName")
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        limits = (self.tfidf.get("minDF", 0.0), self.tfidf.get("maxDF", 1.0))
-        if self.allow_empty and not has_tokens(dataset, "tokens", *limits):
+        specs, limits, name = json.loads(self.getOrDefault("specs")), json.loads(self.getOrDefault("limits")), self.name
+        if self.getOrDefault("allowEmpty") and not has_tokens(dataset, "tokens", limits.get("minDF", 0.0), limits.get("maxDF", 1.0)):
             top = mode_rows(dataset, "label").first().top
             return PipelineModel([SQLTransformer(
-                statement=f"SELECT *, CAST({top} AS DOUBLE) AS {self.name} FROM __THIS__")])
-        front = TfIdf(outputCol="text_features", **self.tfidf).fit(dataset)
-        rows = front.transform(dataset).select("label", "text_features").persist()
-        try:
-            fits = []
-            for spec in self.specs:
-                model = Pipeline(stages=classifier(spec, "text_features", self.name)).fit(rows)
-                good = 0.0
-                if len(self.specs) > 1:
-                    hit = (F.col(self.name) == F.col("label")).cast("double")
-                    good = model.transform(rows).agg(F.avg(hit)).first()[0]
-                fits.append((good, model))
-        finally:
-            rows.unpersist()
-        best = max(fits, key=lambda f: f[0])[1]
-        return PipelineModel([front, *best.stages])
+                statement=f"SELECT *, CAST({top} AS DOUBLE) AS {name} FROM __THIS__")])
+        rows, front, fits = cut(dataset.select("label", "tokens")), None, []
+        for spec in specs:
+            stages = text_classifier(spec, limits, name)
+            if isinstance(stages[0], TfIdf):
+                if front is None:  # vectors are made once for all candidates that read them
+                    front = stages[0].fit(rows)
+                    vectors = cut(front.transform(rows).select("label", "text_features"))
+                fitted = PipelineModel([front, *Pipeline(stages=stages[1:]).fit(vectors).stages])
+            else:
+                fitted = Pipeline(stages=stages).fit(rows)
+            good = 0.0
+            if len(specs) > 1:
+                hit = (F.col(name) == F.col("label")).cast("double")
+                good = fitted.transform(rows).agg(F.avg(hit)).first()[0]
+            fits.append((good, fitted))
+        return max(fits, key=lambda f: f[0])[1]
 
 
 def pipeline(spec: dict, numeric: Sequence[str] = tuple(K.LEARN_NUMERIC),
@@ -241,15 +214,14 @@ def pipeline(spec: dict, numeric: Sequence[str] = tuple(K.LEARN_NUMERIC),
     """
     kind = spec.get("features", "numeric")
     if kind == "text":
-        front = [TfIdf(minDF=spec.get("min_df", 0.25), maxDF=spec.get("max_df", 0.75),
-                       binary=spec.get("binary", False))]
-    elif kind == "all":
+        limits = dict(minDF=spec.get("min_df", 0.25), maxDF=spec.get("max_df", 0.75), binary=spec.get("binary", False))
+        return Pipeline(stages=[TextPrediction([spec], limits, "prediction", allow_empty)])
+    front = []
+    if kind == "all":
         options = dict(tfidf=text_limits, allow_empty=allow_empty)
         predictor = TextPrediction(**options) if text_model is None else TextPrediction([text_model], **options)
-        front = [predictor, *numeric_stages([*numeric, predictor.name], categorical)]
-    else:
-        front = numeric_stages(numeric, categorical)
-    return Pipeline(stages=[*front, *classifier(spec)])
+        front, numeric = [predictor], [*numeric, predictor.name]
+    return Pipeline(stages=[*front, *numeric_stages(numeric, categorical), *classifier(spec)])
 
 
 def category_spec(category: str) -> dict:
@@ -258,16 +230,6 @@ def category_spec(category: str) -> dict:
     return dict(kind="gbt", features="all", rate=rate, depth=depth, subset=subset, trees=trees)
 
 
-def limited(spec: dict, trees: int | None = None, depth: int | None = None,
-            iterations: int | None = None) -> dict:
-    """The spec with at most this many trees, levels and iterations, for quick runs on small data."""
-    out = dict(spec)
-    for name, most in (("trees", trees), ("depth", depth), ("iterations", iterations)):
-        if most is not None and name in out:
-            out[name] = min(out[name], most)
-    return out
-
-
 def dummy_predictions(df: DataFrame, target: str, key: str, seed: int = 0) -> DataFrame:
     """A class drawn by class share, from a hash of the key."""
     # one row per class

@@ -177,10 +177,11 @@ def stem_vocabulary(docs: DataFrame, text: str) -> DataFrame:
 
 # --- term tables --------------------------------------------------------------------
 
-def term_counts(docs: DataFrame, key: str, items: Column) -> DataFrame:
-    """Rows (key, token, tf)."""
-    return (docs.select(key, F.explode(items).alias("token"))
-            .groupBy(key, "token").agg(F.count("*").alias("tf")))
+def term_counts(docs: DataFrame, key: str | Sequence[str], items: Column) -> DataFrame:
+    """Rows (key, token, tf); ``key`` may be several columns."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return (docs.select(*keys, F.explode(items).alias("token"))
+            .groupBy(*keys, "token").agg(F.count("*").alias("tf")))
 
 
 def stemmed_counts(docs: DataFrame, key: str, text: str,

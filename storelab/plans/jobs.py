@@ -41,7 +41,7 @@ REPORT_GRIDS = {
 
 @dataclass(frozen=True)
 class RunConfig:
-    """Switches of a report run. ``trees`` and ``depth`` bound the models for quick runs."""
+    """Switches of a report run."""
 
     text_only: bool = False
     with_text: bool = False
@@ -51,8 +51,8 @@ class RunConfig:
     grid_search: bool = False
     k_best: int = 15
     selector: str = "chi2"
-    trees: int | None = None
-    depth: int | None = None
+    all_models: bool = False
+    documents: str | None = None
     min_rows: int = 100
 
 
@@ -87,9 +87,12 @@ CATEGORICAL = ["installs", "contentRating", "category_name"]
 
 def build(spec: dict, category: str | None = None, text_model: dict | None = None,
           text_limits: dict | None = None) -> Pipeline:
-    """Pipeline of a learning model; category runs leave out installs and content rating."""
+    """Pipeline of a learning model; category runs leave out installs and content rating.
+
+    Few rows may have no token within the limits; text then says the most frequent class.
+    """
     return models.pipeline(spec, K.LEARN_NUMERIC, CATEGORICAL if category is None else [],
-                           text_model, text_limits, allow_empty=category is not None)
+                           text_model, text_limits, allow_empty=True)
 
 
 def train_run(table: DataFrame, searches: dict[str, dict] | None = None, folds: int = 10,
@@ -117,25 +120,20 @@ def train_run(table: DataFrame, searches: dict[str, dict] | None = None, folds:
 
 # --- scoreboard runs ----------------------------------------------------------------
 
-def full_set_models(table: DataFrame, folds: int = 10, names: Sequence[str] | None = None,
-                    trees: int | None = None, depth: int | None = None,
-                    iterations: int | None = None, **text_options) -> DataFrame:
+def full_set_models(table: DataFrame, folds: int = 10, names: Sequence[str] | None = None) -> DataFrame:
     """Scores of the models kept for the whole set, from out-of-fold predictions."""
     out = None
     for name in names or K.FULL_SET_MODELS:
-        spec = models.limited(K.FULL_SET_MODELS[name], trees, depth, iterations)
-        preds = tuning.cross_val_predict(table, lambda: build(spec, None, **text_options), folds)
+        preds = tuning.cross_val_predict(table, lambda: build(K.FULL_SET_MODELS[name]), folds)
         rows = scoreboard.score_rows(preds.withColumn("Category", F.lit("all"))).withColumn("model", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def category_models(table: DataFrame, folds: int = 10, min_rows: int = 100, trees: int | None = None,
-                    depth: int | None = None, **text_options) -> DataFrame:
+def category_models(table: DataFrame, folds: int = 10, min_rows: int = 100) -> DataFrame:
     """Scores of the model of each category; cuts and folds are those of the category."""
     def run(category: str, rows: DataFrame) -> DataFrame:
-        spec = models.limited(models.category_spec(category), trees, depth)
-        preds = tuning.cross_val_predict(rows, lambda: build(spec, category, **text_options), folds)
+        preds = tuning.cross_val_predict(rows, lambda: build(models.category_spec(category), category), folds)
         return scoreboard.score_rows(preds.withColumn("Category", F.lit(category)))
 
     scores = tuning.per_category(table, run, "category", min_rows)

@@ -7,11 +7,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from storelab import constants as K
-from storelab.operators import text
+from storelab.operators import knn, text
 from storelab.operators.models import TextPrediction, TfIdf, add_label
 from storelab.operators.split import stratified_folds
+from storelab.operators.table_model import ROW, numbered
+from storelab.operators.terms import TermNeighbours
 from storelab.plans.registry import query, r6
-from storelab.session import scratch_path
+from storelab.session import cut, scratch_path
 from storelab.sources import store
 from storelab.sources.apps import spread, table
 
@@ -126,16 +128,59 @@ def labelled_documents(spark, sf_dir):
     return store.cached_table(spark, path, build)
 
 
-@query("text_feature_a")
+_FOLDED = """folded as (
+  select doc_id, quality, text, ntile(5) over (partition by quality order by doc_id) fold from documents join labels using (doc_id))"""
+_GRAMS = f"""grams as (
+  select doc_id, quality, fold, unnest(list_concat(list_concat({_grams_sql(2)}, {_grams_sql(3)}), {_grams_sql(4)})) g
+  from (select doc_id, quality, fold, {_KEPT} t from folded)),
+gtf as (select doc_id, quality, fold, g, count(*) tf from grams group by all),
+train_n as (select count(*) n from folded where fold <> 1),
+gdf as (select g, ln((1 + n) / (1 + count(*)::double)) + 1 idf from gtf, train_n where fold <> 1 group by g, n),
+gw as (select doc_id, quality, fold, g, tf * idf / sqrt(sum(tf * tf * idf * idf) over (partition by doc_id)) w from gtf join gdf using (g))"""
+
+
+@query("text_feature_a", f"""with {_FOLDED}, {_GRAMS},
+sums as (select quality c, g, sum(w) s from gw where fold <> 1 group by all),
+sizes as (select quality c, ln(count(*) / (select n from train_n)) prior from folded where fold <> 1 group by 1),
+totals as (select sizes.c, prior, coalesce(sum(s), 0) + (select count(*) from gdf) total from sizes left join sums using (c) group by all),
+scored as (
+  select d.doc_id, t.c, any_value(t.prior) + coalesce(sum(w * (ln(coalesce(s, 0) + 1) - ln(t.total))), 0) score
+  from folded d cross join totals t left join gw on gw.doc_id = d.doc_id left join sums on sums.c = t.c and sums.g = gw.g group by 1, 2)
+select folded.doc_id, fold, quality::double as label, (select arg_min(c, (-round(score, 9), c)) from scored s where s.doc_id = folded.doc_id)::double as text
+from folded""")
 def text_feature_a(spark, sf_dir):
-    """The text replaced by the class that naive Bayes on word n-grams gives it."""
+    """The text replaced by the class that naive Bayes on all word 2- to 4-grams gives it."""
     grams = text.ngrams(text.without_stop_words(text.tokens(F.col("text"))))
     docs = labelled_documents(spark, sf_dir).withColumn("tokens", grams)
-    model = TextPrediction([dict(kind="multinomial")], dict(hashed=1 << 18), "text_class").fit(
-        docs.where("fold <> 1"))
+    model = TextPrediction([dict(kind="multinomial")], dict(minDF=0.0), "text_class").fit(docs.where("fold <> 1"))
     return model.transform(docs).select("doc_id", "fold", "label", F.col("text_class").alias("text"))
 
 
+@query("text_neighbours", f"""with {_FOLDED}, {_GRAMS.replace(_grams_sql(2), "t").replace(f"list_concat(list_concat(t, {_grams_sql(3)}), {_grams_sql(4)})", "t")},
+pairs as (
+  select q.doc_id, t.doc_id near, round(sum(q.w * t.w), 12) p from gw q join gw t on q.g = t.g and q.fold = 1 and t.fold <> 1 group by 1, 2),
+lengths as (select doc_id, sum(w * w) l from gw group by 1),
+every as (
+  select q.doc_id, q.quality, t.doc_id near, t.quality near_label,
+    sqrt(greatest(round(coalesce(a.l, 0)) + round(coalesce(b.l, 0)) - 2 * coalesce(p, 0), 0)) d
+  from folded q join folded t on q.fold = 1 and t.fold <> 1 left join pairs on pairs.doc_id = q.doc_id and pairs.near = t.doc_id
+  left join lengths a on a.doc_id = q.doc_id left join lengths b on b.doc_id = t.doc_id
+  qualify row_number() over (partition by q.doc_id order by d, t.doc_id) <= 10),
+votes as (
+  select doc_id, quality, near_label, count(*) u, sum(case when d = 0 then 1e300 else 1 / d end) w from every group by all)
+select doc_id, quality::double as label, arg_min(near_label, (-u, near_label))::double as y_uniform,
+  arg_min(near_label, (-round(w, 9), near_label))::double as y_distance from votes group by 1, 2""")
+def text_neighbours(spark, sf_dir):
+    """Classes by the 10 nearest labelled documents outside fold 1, by their TF-IDF vectors."""
+    kept = text.without_stop_words(text.tokens(F.col("text")))
+    docs = labelled_documents(spark, sf_dir).withColumn("tokens", kept)
+    model = TermNeighbours(k=10, keyCol="doc_id").fit(docs.where("fold <> 1"))
+    test = numbered(docs.where("fold = 1").select("doc_id", "label", "tokens"))
+    found = cut(model.search(test))
+    votes = [knn.classify(found, how).select(F.col("row").alias(ROW), F.col("prediction").alias(f"y_{how}")) for how in ("uniform", "distance")]
+    return test.join(votes[0], ROW).join(votes[1], ROW).select("doc_id", "label", "y_uniform", "y_distance")
+
+
 @query("text_feature_b")
 def text_feature_b(spark, sf_dir):
     """The class from boosting on stems, fitted without fold 1, next to the text."""

@@ -335,4 +335,7 @@ def test_vocabulary_is_not_cut(spark):
     from storelab.operators.models import TfIdf
     df = spark.range(300).select(F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999),
                                              lambda x: x.cast("string")).alias("tokens"))
-    assert TfIdf().fit(df).stages[0].getOrDefault("vocabSize") == 300_000
+    model = TfIdf().fit(df)
+    assert model.fact("size") == 300_000
+    assert model.tables["terms"].agg(F.countDistinct("place"), F.max("place")).first()[:] == (300_000, 299_999)
+    assert {r.features.size for r in model.transform(df.limit(2)).collect()} == {300_000}
