@@ -7,7 +7,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import Binarizer, SQLTransformer, StringIndexer, VectorAssembler
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelab import constants as K
+from storelab.operators.boosting import SoftmaxBoosting
 from storelab.operators.ordered import mode_rows
 from storelab.operators.profile import class_balance
 from storelab.operators.split import share_of
@@ -66,9 +67,8 @@ def _classifier(spec: dict, features: str, seed: int) -> list:
     common = dict(featuresCol=features, labelCol="label")
     tree = dict(common, maxDepth=get("depth", 3), maxBins=get("bins", MAX_BINS), seed=seed)
     if kind == "gbt":
-        base = GBTClassifier(**tree, maxIter=get("trees", 20), stepSize=get("rate", 0.1),
-                             featureSubsetStrategy=get("subset", "all"))
-        return [OneVsRest(classifier=base, parallelism=4, **common)]
+        return [SoftmaxBoosting(**common, trees=get("trees", 100), depth=get("depth", 3), rate=get("rate", 0.1),
+                                subset=get("subset", "all"), seed=seed)]
     if kind == "forest":
         return [RandomForestClassifier(**tree, numTrees=get("trees", 20), impurity="gini",
                                        featureSubsetStrategy=get("subset", "all"))]
