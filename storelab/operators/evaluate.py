@@ -146,9 +146,9 @@ def roc_auc(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def explained_variance(df: DataFrame, target: str = "target", predicted: str = "predicted",
-                       swapped: bool = True) -> DataFrame:
+                       swapped: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """1 - var(difference) / var(truth). ``swapped`` takes the prediction as the truth,
     as the published regression reports do."""
     base = F.var_pop(predicted if swapped else target)
-    return df.agg((1 - F.try_divide(F.var_pop(F.col(target) - F.col(predicted)), base))
+    return df.groupBy(*by).agg((1 - F.try_divide(F.var_pop(F.col(target) - F.col(predicted)), base))
                   .alias("explained_variance"))

@@ -106,6 +106,8 @@ def regressor(spec: dict, features: str = "features", target: str = "price", see
     if kind == "tree":
         return [DecisionTreeRegressor(featuresCol=features, labelCol=target, maxDepth=get("depth", 5),
                                       maxBins=get("bins", MAX_BINS), seed=seed)]
+    if kind == "knn":
+        return [VectorNeighbours(inputCol=features, labelCol=target, k=get("k", 10), weights=get("weights", "uniform"), mean=True)]
     raise ValueError(f"unknown regressor {kind}")
 
 

@@ -163,6 +163,7 @@ _SLACK = 1e-9
 class _Neighbours(Params):
     k = Param(Params._dummy(), "k", "number of neighbours", TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "uniform or distance", TypeConverters.toString)
+    mean = Param(Params._dummy(), "mean", "predict the mean of the labels instead of a class", TypeConverters.toBoolean)
     keyCol = Param(Params._dummy(), "keyCol", "column that orders equally near rows, empty for their order", TypeConverters.toString)
 
     def _key(self) -> Column:
@@ -170,7 +171,8 @@ class _Neighbours(Params):
         return F.col(name) if name else F.monotonically_increasing_id()
 
     def _classified(self, docs: DataFrame, found: DataFrame) -> DataFrame:
-        votes = knn.classify(cut(found), self.getOrDefault("weights"))
+        answer = knn.regress if self.getOrDefault("mean") else knn.classify
+        votes = answer(cut(found), self.getOrDefault("weights"))
         return put_back(docs, votes.select(F.col("row").alias(ROW), F.col("prediction").alias(self.getOrDefault("predictionCol"))))
 
 
@@ -187,10 +189,10 @@ class TermNeighbours(Estimator, HasInputCol, HasLabelCol, HasPredictionCol, HasL
 
     @keyword_only
     def __init__(self, *, inputCol="tokens", labelCol="label", predictionCol="prediction", minDF=0.0, maxDF=1.0,
-                 binary=False, k=10, weights="uniform", keyCol=""):
+                 binary=False, k=10, weights="uniform", mean=False, keyCol=""):
         super().__init__()
         self._setDefault(inputCol="tokens", labelCol="label", predictionCol="prediction", minDF=0.0, maxDF=1.0,
-                         binary=False, k=10, weights="uniform", keyCol="")
+                         binary=False, k=10, weights="uniform", mean=False, keyCol="")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "TermNeighboursModel":
@@ -296,9 +298,9 @@ class VectorNeighbours(Estimator, HasInputCol, HasLabelCol, HasPredictionCol, _N
     """Classes by the k nearest rows, by the distance of a vector column of fixed length."""
 
     @keyword_only
-    def __init__(self, *, inputCol="features", labelCol="label", predictionCol="prediction", k=10, weights="uniform", keyCol=""):
+    def __init__(self, *, inputCol="features", labelCol="label", predictionCol="prediction", k=10, weights="uniform", mean=False, keyCol=""):
         super().__init__()
-        self._setDefault(inputCol="features", labelCol="label", predictionCol="prediction", k=10, weights="uniform", keyCol="")
+        self._setDefault(inputCol="features", labelCol="label", predictionCol="prediction", k=10, weights="uniform", mean=False, keyCol="")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "VectorNeighboursModel":

@@ -92,6 +92,51 @@ def refit_best(df: DataFrame, build: Build, candidates: Sequence[dict], results:
     return build(candidates[best.candidate]).fit(df)
 
 
+Steps = Callable[[dict], list[tuple[str, object]]]
+
+
+def search_steps(df: DataFrame, steps: Steps, candidates: Sequence[dict], folds: int,
+                 fold: str = "fold", workers: int = 4) -> tuple[DataFrame, int]:
+    """As ``search``, for candidates given as named steps: candidates with the same first
+    steps share their fits. Gives the scores and the number of fits.
+
+    A name says all that matters of a step. Per fold the names form a prefix tree; each of
+    its nodes is fitted once, and its result is written once for the steps behind it.
+    """
+    data = cut(df).persist()
+    lists = [steps(c) for c in candidates]
+
+    def walk(k: int, own: list[int], depth: int, rows: DataFrame, spent: float) -> tuple[list[tuple], int]:
+        out, fits = [], 0
+        for name in dict.fromkeys(lists[i][depth][0] for i in own):
+            group = [i for i in own if lists[i][depth][0] == name]
+            stage, start = lists[group[0]][depth][1], time.perf_counter()
+            made = Pipeline(stages=[stage]).fit(rows.where(F.col(fold) != k))
+            after, took, fits = made.transform(rows), spent + time.perf_counter() - start, fits + 1
+            done = [i for i in group if len(lists[i]) == depth + 1]
+            if done:
+                begun = time.perf_counter()
+                scored = after.select(F.when(F.col(fold) == k, "test").otherwise("train").alias("split"),
+                                      F.col("label").alias("y_eval"), F.col("prediction").alias("y_pred"))
+                scores = weighted_scores(confusion(scored, ["split"]), ["split"]).collect()
+                seconds = time.perf_counter() - begun
+                out += [(i, {a: str(b) for a, b in candidates[i].items()}, k, r.split, r.f1, r.prec, r.rec, r.acc, took, seconds)
+                        for i in done for r in scores]
+            rest = [i for i in group if len(lists[i]) > depth + 1]
+            if rest:
+                more, n = walk(k, rest, depth + 1, cut(after), took)
+                out, fits = out + more, fits + n
+        return out, fits
+
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            parts = list(pool.map(lambda k: walk(k, list(range(len(lists))), 0, data, 0.0), range(1, folds + 1)))
+    finally:
+        data.unpersist()
+    rows = [r for part, _ in parts for r in part]
+    return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA), sum(n for _, n in parts)
+
+
 def cross_val_predict(df: DataFrame, build: Callable[[], Pipeline], folds: int,
                       fold: str = "fold", workers: int = 4) -> DataFrame:
     """Every row with the prediction of a model that has not seen its fold."""
@@ -119,13 +164,14 @@ def per_category(df: DataFrame, run: Callable[[str, DataFrame], DataFrame], colu
     The frame is written once with a folder per category, so that each run reads its
     category only.
     """
-    data = cut(df, [column])
+    # an empty name cannot be a folder, so the folders are named after a sign and the category
+    data = cut(df.withColumn("_part", F.concat(F.lit("="), F.col(column).cast("string"))), ["_part"])
     names = sorted(r[column] for r in data.groupBy(column).agg(F.count("*").alias("n"))
                    .where(F.col("n") >= rows).select(column).collect() if r[column] is not None)
     if not names:
         raise ValueError(f"no {column} has {rows} rows")
     with ThreadPoolExecutor(workers) as pool:
-        parts = list(pool.map(lambda n: run(n, data.where(F.col(column) == n)), names))
+        parts = list(pool.map(lambda n: run(n, data.where(F.col("_part") == f"={n}").drop("_part")), names))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -134,8 +180,9 @@ def per_category(df: DataFrame, run: Callable[[str, DataFrame], DataFrame], colu
 
 def learning_curve(df: DataFrame, build: Callable[[], Pipeline], key: str,
                    sizes: Sequence[float] = (0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0), folds: int = 4,
-                   fold: str = "fold", workers: int = 4, seed: int = 0) -> DataFrame:
-    """Mean and deviation of the accuracy for growing shares of the training rows."""
+                   fold: str = "fold", workers: int = 4, seed: int = 0, classes: bool = True) -> DataFrame:
+    """Mean and deviation of the accuracy, or of the explained variance without ``classes``,
+    for growing shares of the training rows."""
     from storelab.operators.split import share_of
     data = cut(df.withColumn("_share", share_of(key, seed))).persist()
 
@@ -144,9 +191,10 @@ def learning_curve(df: DataFrame, build: Callable[[], Pipeline], key: str,
         used = (F.col(fold) != k) & (F.col("_share") < size)
         model = build().fit(data.where(used))
         side = F.when(F.col(fold) == k, "test").when(used, "train")
-        hit = (F.col("prediction") == F.col("label")).cast("double")
-        rows = (model.transform(data).select(side.alias("side"), hit.alias("hit")).where("side is not null")
-                .groupBy("side").agg(F.avg("hit").alias("acc"), F.count("*").alias("n")).collect())
+        good = (F.avg((F.col("prediction") == F.col("label")).cast("double")) if classes else
+                1 - F.try_divide(F.var_pop(F.col("label") - F.col("prediction")), F.var_pop("prediction")))
+        rows = (model.transform(data).select(side.alias("side"), "label", "prediction").where("side is not null")
+                .groupBy("side").agg(good.alias("acc"), F.count("*").alias("n")).collect())
         return [(float(size), k, r.side, r.acc, r.n) for r in rows]
 
     try:

@@ -7,14 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelab import constants as K
 from storelab.functions import parse
-from storelab.operators import (clean, encode, evaluate, knn, models, profile, related, scoreboard,
-                                select_features, split, target, text, tuning)
+from storelab.operators import clean, evaluate, models, profile, related, scoreboard, split, stages, target, text, tuning
 from storelab.session import cut
 from storelab.sources import store
 
@@ -31,11 +29,15 @@ GRIDS = {
 KINDS = {"forest_numeric": dict(kind="forest"), "gradient_numeric": dict(kind="gbt"),
          "quick_numeric": dict(kind="tree"), "bnb_text": dict(kind="bernoulli", features="text"),
          "gradient_text": dict(kind="gbt", features="text"), "svm_text": dict(kind="svm", features="text")}
-# Grids of the report runs.
+# Grids of the report runs.
+_BOOSTING = dict(kind="gbt", rate=0.1, trees=500, depth=3)
 REPORT_GRIDS = {
-    "text": [dict(kind="logistic", alpha=a, penalty=p) for a in (0.001, 0.0001, 0.01) for p in ("l1", "l2")],
+    "text": [*[dict(kind="logistic", alpha=a, penalty=p) for a in (0.001, 0.0001, 0.01) for p in ("l1", "l2")],
+             *[dict(kind="knn", k=k, weights=w) for k in (5, 10, 20) for w in ("uniform", "distance")]],
     "class": [dict(kind="mlp", hidden=h) for h in ((5, 5), (100,), (100, 100), (10, 10, 10))],
-    "preprocess": {"k": [10, 15, 30], "score": ["chi2", "f"]},
+    "preprocess": [dict(_BOOSTING, k_best=k, score=s) for k in (10, 15, 30) for s in ("chi2", "f")],
+    "ngrams": [dict(kind="logistic", alpha=0.0001, grams=g) for g in ((3, 3), (2, 4), (3, 5))],
+    "text_models": [dict(kind="logistic", alpha=0.0001), dict(kind="knn", k=10, weights="distance")],
 }
 
 
@@ -49,6 +51,7 @@ class RunConfig:
     price_as_class: bool = True
     cross_validate: bool = False
     grid_search: bool = False
+    grid: str | None = None
     k_best: int = 15
     selector: str = "chi2"
     all_models: bool = False
@@ -79,7 +82,7 @@ def model_table(learn: DataFrame, folds: int = 10, with_tokens: bool = True,
     if with_tokens:
         df = df.join(text.stemmed_documents(df.select("_row", "text"), "_row", "text")
                      .select("_row", "tokens"), "_row")
-    return models.add_label(df.drop("_row"))
+    return models.add_label(df)
 
 
 CATEGORICAL = ["installs", "contentRating", "category_name"]
@@ -130,6 +133,22 @@ def full_set_models(table: DataFrame, folds: int = 10, names: Sequence[str] | No
     return out
 
 
+def scoreboard_run(table: DataFrame, name: str, folder: str, folds: int = 10, category: str | None = None,
+                   board: DataFrame | None = None) -> DataFrame:
+    """Score a model out of fold, store its predictions and the model fitted on all rows, and
+    set its columns on the board, which is written to ``folder/scoring`` and returned."""
+    spec = K.FULL_SET_MODELS[name] if category is None else models.category_spec(category)
+    place = category or "all"
+    preds = cut(tuning.cross_val_predict(table, lambda: build(spec, category), folds).withColumn("Category", F.lit(place)))
+    store.write_predictions(scoreboard.prediction_rows(preds, name), f"{folder}/predictions")
+    store.save_model(build(spec, category).fit(table), store.model_path(folder, name, category))
+    if board is None:
+        board = table.sparkSession.createDataFrame([(1, place)], "Runs int, Category string")
+    out = cut(scoreboard.update(board, scoreboard.score_rows(preds), name))
+    store.write_report(out, f"{folder}/scoring")
+    return out
+
+
 def category_models(table: DataFrame, folds: int = 10, min_rows: int = 100) -> DataFrame:
     """Scores of the model of each category; cuts and folds are those of the category."""
     def run(category: str, rows: DataFrame) -> DataFrame:
@@ -159,71 +178,75 @@ def write_documents(columns: DataFrame, authors: DataFrame, folder: str) -> dict
 # --- report runs --------------------------------------------------------------------
 
 NOT_FEATURES = ["appId", "similarApps", "name", "appUrl", "text", "tokens", "price", "price_range_index",
-                "label", "fold", *[f"similarApps_{s}" for s in K.SIMILAR_STATS]]
+                "label", "fold", "_row", *[f"similarApps_{s}" for s in K.SIMILAR_STATS]]
+LEFT_OUT = {n.replace("%", "_") for n in NOT_FEATURES}
 
 
 def report_rows(report: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
-    """Rows of the report table that can be used, with label and a shuffled fold 1 to 5."""
-    df = report.drop(*drop)
-    need = [c for c in df.columns if c not in ("similarApps", "name", "appUrl")]
-    df = df.dropna(subset=[f"`{c}`" if "." in c else c for c in need])
+    """Rows of the report table with a text and a price, with label and a shuffled fold 1 to 5.
+
+    Other numbers that are missing, such as the shares of a listing without stars, are 0.
+    """
+    df = report.drop(*drop).dropna(subset=["text", "price", "price_range_index"])
+    df = df.fillna(0, subset=stages.numeric_columns(df, LEFT_OUT))
     # ids may repeat, so folds come back by a row number that is written once
     df = cut(df.withColumn("_row", F.monotonically_increasing_id()))
     folds = split.shuffled_folds(df.select("_row", "appId", "price_range_index"), "price_range_index",
                                  ["appId", "_row"], 5)
-    return models.add_label(df.join(folds.select("_row", "fold"), "_row").drop("_row"), "price_range_index")
+    return models.add_label(df.join(folds.select("_row", "fold"), "_row"), "price_range_index")
 
 
 def safe_names(df: DataFrame) -> DataFrame:
-    """Column names without dots and blanks, which vector assembly cannot read."""
-    return df.toDF(*["".join(ch if ch.isalnum() or ch == "_" else "_" for ch in c) for c in df.columns])
-
-
-def select_columns(train: DataFrame, config: RunConfig, features: list[str]) -> list[str]:
-    """Names of the best features by the configured score."""
-    if not config.price_as_class:
-        scores = select_features.f_regression_scores(train, features, "price")
-    elif config.selector == "chi2":
-        scores = select_features.chi2_scores(train, features, "label")
-    else:
-        scores = select_features.f_scores(train, features, "label")
-    return [r.feature for r in select_features.best_k(scores, config.k_best).collect()]
+    """Column names without dots and blanks, which vector assembly cannot read; names that
+    become equal are told apart by a number."""
+    names: list[str] = []
+    for c in df.columns:
+        plain = name = "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in c)
+        n = 1
+        while name in names:
+            n += 1
+            name = f"{plain}_{n}"
+        names.append(name)
+    return df.toDF(*names)
+
+
+def front_steps(config: RunConfig, columns: Sequence[str], scaled: Sequence[str], spec: dict) -> list[tuple[str, object]]:
+    """Named steps before the model: text, scaling and selection; ``spec`` may set k_best, score and grams."""
+    low, high = spec.get("grams", (2, 4))
+    grams = (f"grams {low} {high}", stages.WordGrams(low=low, high=high))
+    if config.text_only:
+        return [grams]
+    out, inputs = [], list(columns)
+    if config.with_text:
+        predictor = models.TextPrediction(models.build_models(text_only=True), dict(minDF=0.0), "text_class")
+        out, inputs = [grams, ("text class", predictor)], [*inputs, "text_class"]
+    score = spec.get("score", config.selector) if config.price_as_class else "f_regression"
+    k = spec.get("k_best", config.k_best)
+    best = stages.BestColumns(inputCols=inputs, k=k, score=score, labelCol="label" if config.price_as_class else "price")
+    return [*out, ("scaling", stages.MinMaxColumns(inputCols=list(scaled))), (f"best {k} {score}", best)]
 
 
-def report_features(rows: DataFrame, config: RunConfig) -> tuple[DataFrame, list]:
-    """Rows with the columns that the model reads, and the stages in front of it."""
-    train = rows.where("fold <> 1")
-    grams = text.ngrams(text.without_stop_words(text.tokens(F.col("text"))))
+def model_stages(config: RunConfig, spec: dict, inputs: int) -> list:
     if config.text_only:
-        return rows.withColumn("tokens", grams), [models.TfIdf(hashed=1 << 18)]
-    df = rows
-    if config.with_text:
-        with_tokens = rows.withColumn("tokens", grams)
-        predictor = models.TextPrediction(models.build_models(text_only=True), dict(hashed=1 << 18), "text_class")
-        fitted = predictor.fit(with_tokens.where("fold <> 1"))
-        df = cut(fitted.transform(with_tokens).select(*rows.columns, "text_class"))
-    features = [f.name for f in df.schema.fields
-                if f.name not in {n.replace("%", "_") for n in NOT_FEATURES} and f.dataType.typeName() != "string"]
-    scaled = [c for c in K.SCALED_COLUMNS if c in df.columns]
-    df = encode.min_max_scale(df, train, scaled) if scaled else df
-    df = cut(df.select("appId", "price", "label", "fold", *features))
-    best = select_columns(df.where("fold <> 1"), config, features)
-    return df, [VectorAssembler(inputCols=best, outputCol="features")]
-
-
-def _spec(spec: dict, config: RunConfig, inputs: int) -> dict:
-    spec = models.limited(spec, config.trees, config.depth)
+        return models.text_classifier(spec, dict(minDF=0.0))
+    if not config.price_as_class:
+        return models.regressor(spec)
     if spec["kind"] == "mlp":
-        spec["layers"] = [inputs, *spec["hidden"], 4]
-    return spec
+        spec = {**spec, "layers": [min(spec.get("k_best", config.k_best), inputs), *spec["hidden"], 4]}
+    return models.classifier(spec)
 
 
 def train_predict(report: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
     """One report run: rows (category, model, part, item, value, support).
 
-    ``part`` is ``accuracy`` or ``explained_variance``, ``report`` for the class report,
-    ``curve`` for a learning curve and ``grid`` for the scores of a search.
+    ``part`` is ``accuracy`` or ``explained_variance`` (items train and test); ``precision``,
+    ``recall`` and ``report`` (f1) of the class report; ``detail`` for the share of each
+    prediction within its target; ``curve`` for a learning curve; for a search ``grid`` (all
+    candidates), ``best_score`` and ``best_parameter``. With ``documents`` set, fitted
+    pipelines, reports and the names of the feature columns are stored below that folder.
     """
+    if config.grid_search and not config.price_as_class:
+        raise ValueError("there is no grid for regression models")
     rows = cut(report_rows(safe_names(report)))
     if config.per_category and not config.cross_validate:
         return tuning.per_category(clean.per_category(rows), lambda c, df: _one_run(df.drop("category"), config, c),
@@ -232,63 +255,106 @@ def train_predict(report: DataFrame, config: RunConfig = RunConfig()) -> DataFra
 
 
 def _one_run(rows: DataFrame, config: RunConfig, category: str) -> DataFrame:
-    df, front = report_features(rows, config)
-    inputs = config.k_best if not config.text_only else 0
-    if config.cross_validate:
-        spec = _spec(models.build_models(config.text_only)[0], config, inputs)
-        train = split.stratified_folds(df.where("fold <> 1").drop("fold"), "label", "appId", 4)
-        curve = tuning.learning_curve(train, lambda: Pipeline(stages=[*front, *models.classifier(spec)]), "appId")
-        return _result(curve.select(F.concat_ws(" ", "side", "size").alias("item"),
-                                    F.col("accuracy_mean").alias("value"), F.col("rows_mean").cast("bigint").alias("support")),
-                       category, spec["kind"], "curve")
-    if config.grid_search and config.price_as_class:
-        candidates = [_spec(s, config, inputs) for s in REPORT_GRIDS["text" if config.text_only else "class"]]
-        train = split.stratified_folds(df.where("fold <> 1").drop("fold"), "label", "appId", 3)
-        found = tuning.search(train, lambda c: Pipeline(stages=[*front, *models.classifier(c)]), candidates, 3)
-        scores = tuning.candidate_scores(found)
-        return _result(scores.select(F.col("params").cast("string").alias("item"),
-                                     F.col("score_accuracy_test_mean").alias("value"),
-                                     F.col("folds").alias("support")), category, candidates[0]["kind"], "grid")
+    columns = stages.numeric_columns(rows, LEFT_OUT)
+    scaled = [c for c in K.SCALED_COLUMNS if c in columns]
+    keep = ["appId", "_row", "text", "price", "label", "fold"]
+    df = cut(rows.select(*keep, *([] if config.text_only else columns)))
+    inputs = len(columns) + config.with_text
+    train, order = df.where("fold <> 1"), ["appId", "_row"]
+
+    def steps(spec: dict) -> list[tuple[str, object]]:
+        last = model_stages(config, spec, inputs)
+        return [*front_steps(config, columns, scaled, spec), *[(f"{i} {sorted(spec.items())}", s) for i, s in enumerate(last)]]
+
+    def build(spec: dict) -> Pipeline:
+        return Pipeline(stages=[s for _, s in steps(spec)])
+
+    if config.documents and not config.text_only:
+        store.write_report(store.feature_columns(df.select(*columns)), f"{config.documents}/{_place(category)}/columns")
     out = None
-    for spec in models.build_models(config.text_only, config.price_as_class):
-        part = _fit_and_score(df, front, _spec(spec, config, inputs), config, category)
-        out = part if out is None else out.unionByName(part)
+    if config.grid_search and not config.cross_validate:
+        found = REPORT_GRIDS[config.grid or ("text" if config.text_only else "class")]
+        out = _search_run(train, df, steps, build, found, config, category)
+    else:
+        for spec in models.build_models(config.text_only, config.price_as_class, config.all_models):
+            if config.cross_validate:
+                part = _curve_run(train, build, spec, order, category, config)
+            else:
+                fitted = build(spec).fit(train)
+                part = _scores(fitted, df, spec["kind"], config, category)
+            out = part if out is None else out.unionByName(part)
+    out = cut(out)
+    if config.documents:
+        store.write_report(out, f"{config.documents}/{_place(category)}/{_kind(config)}_{store.variant(config.text_only, config.with_text)}")
     return out
 
 
+def _kind(config: RunConfig) -> str:
+    return "curve" if config.cross_validate else "grid_report" if config.grid_search else \
+        "class_report" if config.price_as_class else "regression_report"
+
+
+def _place(category: str) -> str:
+    return "all" if category == "all" else f"per_category/{category}"
+
+
+def _curve_run(train: DataFrame, build, spec: dict, order: list[str], category: str, config: RunConfig) -> DataFrame:
+    strata = train if config.price_as_class else train.withColumn("label", F.lit(0.0))
+    folded = split.stratified_folds(strata.drop("fold"), "label", order, 4)
+    if not config.price_as_class:
+        folded = folded.withColumn("label", F.col("price"))
+    curve = tuning.learning_curve(folded, lambda: build(spec), "_row", classes=config.price_as_class)
+    return _result(curve.select(F.concat_ws(" ", "side", "size").alias("item"), F.col("accuracy_mean").alias("value"),
+                                F.col("rows_mean").cast("bigint").alias("support")), category, spec["kind"], "curve")
+
+
+def _search_run(train: DataFrame, df: DataFrame, steps, build, candidates: list[dict], config: RunConfig, category: str) -> DataFrame:
+    """Scores of all candidates, then the best one fitted again and scored on the test rows."""
+    folded = split.stratified_folds(train.drop("fold"), "label", ["appId", "_row"], 3)
+    found, _ = tuning.search_steps(folded, steps, candidates, 3)
+    found = cut(found)
+    best = tuning.best_candidate(found, "accuracy").first()
+    spec = candidates[best.candidate]
+    scores = tuning.candidate_scores(found).select(
+        F.col("params").cast("string").alias("item"), F.col("score_accuracy_test_mean").alias("value"), F.col("folds").alias("support"))
+    told = df.sparkSession.createDataFrame(
+        [(category, spec["kind"], "best_score", "accuracy", float(best.score_accuracy_test_mean), int(best.folds))]
+        + [(category, spec["kind"], "best_parameter", f"{a}={b}", None, None) for a, b in sorted(spec.items())], RUN_SCHEMA)
+    fitted = build(spec).fit(train)
+    return (_result(scores, category, "all", "grid").unionByName(told)
+            .unionByName(_scores(fitted, df, spec["kind"], config, category)))
+
+
+RUN_SCHEMA = "category string, model string, part string, item string, value double, support bigint"
+
+
 def _result(df: DataFrame, category: str, model: str, part: str) -> DataFrame:
     return df.select(F.lit(category).alias("category"), F.lit(model).alias("model"),
-                     F.lit(part).alias("part"), "item", "value", "support")
-
-
-def _fit_and_score(df: DataFrame, front: list, spec: dict, config: RunConfig, category: str) -> DataFrame:
-    train, test = df.where("fold <> 1"), df.where("fold = 1")
-    kind = spec["kind"]
-    if config.price_as_class:
-        model = fit_model(train, front, models.classifier(spec))
-        preds = cut(models.add_prediction_class(model.transform(test))
-                    .select((F.col("label") + 1).cast("int").alias("y_eval"), "y_pred"))
-        hits = evaluate.accuracy(preds).select(F.lit("test").alias("item"), F.col("accuracy").alias("value"),
-                                               F.lit(None).cast("bigint").alias("support"))
-        report = evaluate.class_report(evaluate.confusion(preds)).select(
-            F.col("label").alias("item"), F.col("f1").alias("value"), "support")
-        return _result(hits, category, kind, "accuracy").unionByName(_result(report, category, kind, "report"))
-    if kind == "knn":
-        ready = Pipeline(stages=front).fit(train)
-        from pyspark.ml.functions import vector_to_array
-        points = cut(ready.transform(df).select(F.monotonically_increasing_id().alias("row"), "price", "fold",
-                                                vector_to_array("features").alias("v")))
-        found = knn.neighbours(points.where("fold <> 1"), points.where("fold = 1"), spec["k"], "row", "v", "price")
-        preds = (knn.regress(found).join(points, "row")
-                 .select(F.col("price").alias("target"), F.col("prediction").alias("predicted")))
-    else:
-        model = fit_model(train, front, models.regressor(spec))
-        preds = model.transform(test).select(F.col("price").alias("target"), F.col("prediction").alias("predicted"))
-    score = evaluate.explained_variance(preds).select(
-        F.lit("test").alias("item"), F.col("explained_variance").alias("value"),
-        F.lit(None).cast("bigint").alias("support"))
-    return _result(score, category, kind, "explained_variance")
+                     F.lit(part).alias("part"), "item", F.col("value").cast("double").alias("value"),
+                     F.col("support").cast("bigint").alias("support"))
 
 
-def fit_model(train: DataFrame, front: list, model: list) -> PipelineModel:
-    return Pipeline(stages=[*front, *model]).fit(train)
+def _scores(fitted: PipelineModel, df: DataFrame, kind: str, config: RunConfig, category: str) -> DataFrame:
+    """Scores on training and test rows; the fitted pipeline and sample predictions are stored."""
+    side = F.when(F.col("fold") == 1, "test").otherwise("train").alias("side")
+    if config.documents:
+        store.save_model(fitted, store.model_path(config.documents, kind, None if category == "all" else category,
+                                                  config.text_only, config.with_text))
+    if not config.price_as_class:
+        preds = cut(fitted.transform(df).select(side, "_row", F.col("price").alias("target"), F.col("prediction").alias("predicted")))
+        if config.documents:
+            pairs = store.sample_pairs(preds.where("side = 'test'"), "_row")
+            store.write_report(pairs, f"{config.documents}/{_place(category)}/pairs_{kind}")
+        score = evaluate.explained_variance(preds, by=["side"])
+        return _result(score.select(F.col("side").alias("item"), F.col("explained_variance").alias("value"), F.lit(None).alias("support")),
+                       category, kind, "explained_variance")
+    preds = cut(models.add_prediction_class(fitted.transform(df)).select(side, (F.col("label") + 1).cast("int").alias("y_eval"), "y_pred"))
+    cells = evaluate.confusion(preds.where("side = 'test'"))
+    hits = evaluate.accuracy(preds, ["side"]).select(F.col("side").alias("item"), F.col("accuracy").alias("value"), F.lit(None).alias("support"))
+    out = _result(hits, category, kind, "accuracy")
+    report = evaluate.class_report(cells)
+    for part, column in (("precision", "precision"), ("recall", "recall"), ("report", "f1")):
+        out = out.unionByName(_result(report.select(F.col("label").alias("item"), F.col(column).alias("value"), "support"), category, kind, part))
+    detail = evaluate.confusion_percent(cells).select(F.concat_ws(" ", "target", "predict").alias("item"), F.col("percent").alias("value"),
+                                                      F.col("count").alias("support"))
+    return out.unionByName(_result(detail, category, kind, "detail"))

@@ -1,5 +1,4 @@
-"""Queries that fit models. Trees are few and shallow, so that they run on small data;
-the library takes the full parameters."""
+"""Queries that fit models, with the published parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from storelab import constants as K
-from storelab.operators import evaluate, knn, models, scoreboard, split, tuning
+from storelab.operators import evaluate, knn, models, split, tuning
 from storelab.plans import jobs, tables
 from storelab.plans.queries_clean import cached_learn
 from storelab.plans.queries_eval import BASE, predictions
@@ -56,7 +55,7 @@ def _predict_all(spark, sf_dir, specs):
 
 @query("gbt_classify")
 def gbt_classify(spark, sf_dir):
-    return _predict(spark, sf_dir, dict(kind="gbt", trees=5, depth=3, rate=0.1, subset="sqrt"))
+    return _predict(spark, sf_dir, dict(kind="gbt", trees=150, depth=5, rate=0.1, subset="sqrt"))
 
 
 @query("forest_classify")
@@ -77,8 +76,8 @@ def nb_classify(spark, sf_dir):
 
 @query("linear_classify")
 def linear_classify(spark, sf_dir):
-    return _predict_all(spark, sf_dir, [dict(kind="logistic", alpha=0.01, penalty="l2", iterations=20),
-                                        dict(kind="logistic", alpha=0.001, penalty="l1", iterations=20)])
+    return _predict_all(spark, sf_dir, [dict(kind="logistic", alpha=0.01, penalty="l2"),
+                                        dict(kind="logistic", alpha=0.001, penalty="l1")])
 
 
 @query("svm_classify")
@@ -89,7 +88,7 @@ def svm_classify(spark, sf_dir):
 @query("mlp_classify")
 def mlp_classify(spark, sf_dir):
     inputs = len(K.LEARN_NUMERIC) + len(jobs.CATEGORICAL)
-    return _predict(spark, sf_dir, dict(kind="mlp", layers=[inputs, 10, 10, 10, 4], iterations=20))
+    return _predict(spark, sf_dir, dict(kind="mlp", layers=[inputs, 10, 10, 10, 4], iterations=200))
 
 
 _DUMMY_U = "(('0x' || substr(md5(concat(\"appId\", '-0')), 1, 8))::bigint / 4294967296.0)"
@@ -168,7 +167,7 @@ def tree_regress(spark, sf_dir):
 
 def _folded(df, k):
     """The table with k nearly equal folds instead of five."""
-    return split.stratified_folds(df.drop("fold"), "price_class", "appId", k)
+    return split.stratified_folds(df.drop("fold"), "price_class", ["appId", "_row"], k)
 
 
 @query("grid_search")
@@ -225,43 +224,79 @@ def learning_curve(spark, sf_dir):
 
 @query("train_per_category")
 def train_per_category(spark, sf_dir):
-    """Out-of-fold scores of a small tree per category."""
+    """The searches of a category run, for every category with 100 rows or more."""
     def run(category, rows):
-        preds = tuning.cross_val_predict(rows, lambda: jobs.build(dict(kind="tree", depth=3), category), 2)
-        return scoreboard.score_rows(preds.withColumn("Category", F.lit(category)))
+        folded = split.stratified_folds(rows.drop("fold"), "price_class", ["appId", "_row"], 2)
+        out = jobs.train_run(folded, None, 2, category)
+        return out.withColumn("params", F.col("params").cast("string"))
     return tuning.per_category(category_table(spark, sf_dir), run)
 
 
 @query("train_run")
 def train_run(spark, sf_dir):
-    searches = {"forest_numeric": {"trees": [5], "depth": [2, 3]},
-                "gradient_numeric": {"rate": [0.1], "trees": [2], "depth": [2]}}
-    out = jobs.train_run(_folded(model_table(spark, sf_dir), 2), searches, 2, text=False)
+    """The searches of a full run, on two folds."""
+    out = jobs.train_run(_folded(model_table(spark, sf_dir), 2), None, 2)
     return out.withColumn("params", F.col("params").cast("string"))
 
 
 @query("train_predict")
 def train_predict(spark, sf_dir):
-    return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(trees=3, depth=3))
+    return jobs.train_predict(report_rows(spark, sf_dir))
+
+
+@query("train_predict_text")
+def train_predict_text(spark, sf_dir):
+    """The report run on text alone."""
+    return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(text_only=True))
+
+
+@query("train_predict_with_text")
+def train_predict_with_text(spark, sf_dir):
+    """The report run with the class that the text says as a feature."""
+    return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(with_text=True))
 
 
 @query("train_predict_price")
 def train_predict_price(spark, sf_dir):
-    return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(price_as_class=False, depth=3))
+    return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(price_as_class=False))
+
 
+@query("report_grid")
+def report_grid(spark, sf_dir):
+    """Search over networks: all scores, the best one, its parameters and its test report."""
+    return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(grid_search=True))
 
-SMALL_TEXT = dict(kind="tree", depth=3)
+
+@query("report_grid_preprocess")
+def report_grid_preprocess(spark, sf_dir):
+    """Search over the number of features and their score."""
+    return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(grid_search=True, grid="preprocess"))
+
+
+@query("report_grid_text")
+def report_grid_text(spark, sf_dir):
+    """Search between linear models and neighbours on text."""
+    return jobs.train_predict(report_rows(spark, sf_dir), jobs.RunConfig(grid_search=True, text_only=True, grid="text_models"))
 
 
 @query("full_set_models")
 def full_set_models(spark, sf_dir):
-    return jobs.full_set_models(_folded(model_table(spark, sf_dir), 2), 2, trees=2, depth=2, iterations=10,
-                                text_model=SMALL_TEXT)
+    """Out-of-fold scores of the kept models, on two folds."""
+    return jobs.full_set_models(_folded(model_table(spark, sf_dir), 2), 2)
 
 
 @query("category_models")
 def category_models(spark, sf_dir):
-    return jobs.category_models(category_table(spark, sf_dir), 2, trees=2, depth=2, text_model=SMALL_TEXT)
+    """Out-of-fold scores of the model of each category, on two folds."""
+    return jobs.category_models(category_table(spark, sf_dir), 2)
+
+
+@query("scoreboard_run")
+def scoreboard_run(spark, sf_dir):
+    """The board after one model was scored and stored, read back from what the run wrote."""
+    folder = scratch_path(spark, "board")
+    jobs.scoreboard_run(_folded(model_table(spark, sf_dir), 10), "fd_numeric_forest_numeric", folder)
+    return store.read_scoreboard(spark, f"{folder}/scoring", ["fd_numeric_forest_numeric"])
 
 
 @query("model_roundtrip")

@@ -185,7 +185,7 @@ def text_neighbours(spark, sf_dir):
 def text_feature_b(spark, sf_dir):
     """The class from boosting on stems, fitted without fold 1, next to the text."""
     docs = labelled_documents(spark, sf_dir)
-    model = TextPrediction([dict(kind="gbt", rate=0.1, trees=5, depth=3)]).fit(docs.where("fold <> 1"))
+    model = TextPrediction([dict(kind="gbt", rate=0.1, trees=100, depth=7)]).fit(docs.where("fold <> 1"))
     return model.transform(docs).select("doc_id", "fold", "label", "textFeaturePrediction")
 
 

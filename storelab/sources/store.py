@@ -67,9 +67,12 @@ def sample_pairs(df: DataFrame, key: str, n: int = 200) -> DataFrame:
 def model_path(folder: str, name: str, category: str | None = None, text_only: bool = False,
                with_text: bool = False) -> str:
     """Where a fitted model goes: one place per variant and category."""
-    variant = "textOnly" if text_only else "withText" if with_text else "noText"
     place = f"per_category/{category}" if category else "all"
-    return f"{folder}/{place}/{name}_{variant}"
+    return f"{folder}/{place}/{name}_{variant(text_only, with_text)}"
+
+
+def variant(text_only: bool = False, with_text: bool = False) -> str:
+    return "textOnly" if text_only else "withText" if with_text else "noText"
 
 
 def save_model(model: PipelineModel, path: str) -> None:
