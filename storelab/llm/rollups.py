@@ -2,10 +2,12 @@
 
 A change is an insert, a delete or a revised count of one document under one tokenizer
 version. A batch of changes is summed to one signed delta per group before anything is
-shuffled further, and committed as a table in a folder named by the batch. Committing a
-batch again replaces that folder by the same rows, so a batch counts once however often
-its job is run, and a job that died half way is simply run again. Totals are the sums of
-all committed deltas; ``compacted`` folds batches into one.
+shuffled further. A commit writes the deltas to a folder that no other commit uses and then
+appends one row to the manifest; that row is the commit. A job that died before it leaves
+files that nothing reads, and can simply be run again; a batch id that is already in the
+manifest is not committed again, and of two commits that raced only the first by name
+counts. ``compacted`` writes some batches as one and says in its manifest row which ones it
+replaces, so totals never count both. Nothing committed is ever overwritten.
 
 Defined results: a null source, language or count is a group of its own or 0; a change
 without a known kind adds nothing; a group whose documents are all deleted stays with zeros; repeated rows
@@ -14,6 +16,7 @@ are separate changes; an empty batch commits no groups; extra columns are not re
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,14 +26,16 @@ from pyspark.sql import functions as F
 
 from storelab.llm.tokens import WORD_TOKENIZER, WordEncoder
 from storelab.llm.wordkit import slices
+from storelab.sources.store import table_exists
 
 GROUP = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 def token_counts(docs: DataFrame, tokenizer: str = WORD_TOKENIZER) -> DataFrame:
-    """The columns of ``docs`` without text, and ``n_words`` and ``n_ids`` of the whole text."""
-    names = [c for c in docs.columns if c != "text"]
+    """The columns of ``docs`` without text, and ``n_words`` and ``n_ids`` of the whole text,
+    which replace columns of these names."""
+    names = [c for c in docs.columns if c not in ("text", "n_words", "n_ids")]
 
     def count(batches):
         encoder = WordEncoder(tokenizer)
@@ -44,7 +49,7 @@ def token_counts(docs: DataFrame, tokenizer: str = WORD_TOKENIZER) -> DataFrame:
                 names + ["n_words", "n_ids"])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.mapInArrow(count, f"{kept}, n_words long, n_ids long")
+    return docs.select(*[f"`{c}`" for c in names], "text").mapInArrow(count, f"{kept}, n_words long, n_ids long")
 
 
 def changes(rows: DataFrame, kind: str, tokenizer: str, n_tokens: Column, old_tokens: Column | None = None) -> DataFrame:
@@ -63,17 +68,53 @@ def deltas(batch: DataFrame) -> DataFrame:
     return batch.groupBy(*GROUP).agg(F.sum(docs).cast("bigint").alias("n_docs"), F.sum(tokens).cast("bigint").alias("n_tokens"))
 
 
+MANIFEST = "batch string, place string, replaces array<string>"
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """The batches that count: batch, place, replaces."""
+    manifest = f"{folder}/manifest"
+    if not table_exists(spark, manifest):
+        return spark.createDataFrame([], MANIFEST)
+    rows = spark.read.schema(MANIFEST).parquet(manifest)
+    return rows.groupBy("batch").agg(F.min(F.struct("place", "replaces")).alias("first")).select("batch", "first.*")
+
+
+def _commit(made: DataFrame, folder: str, batch_id: str, replaces: Sequence[str] = ()) -> None:
+    spark = made.sparkSession
+    if committed(spark, folder).where(F.col("batch") == batch_id).limit(1).count():
+        return
+    place = f"data/{uuid.uuid4().hex}"
+    made.write.parquet(f"{folder}/{place}")
+    row = spark.range(1).select(F.lit(batch_id).alias("batch"), F.lit(place).alias("place"),
+                                F.array(*[F.lit(r) for r in replaces]).cast("array<string>").alias("replaces"))
+    row.write.mode("append").parquet(f"{folder}/manifest")
+
+
 def commit(batch: DataFrame, folder: str, batch_id: str) -> None:
     """Commit a batch of changes under its id; a second commit of the id changes nothing."""
-    deltas(batch).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+    _commit(deltas(batch), folder, batch_id)
+
 
+def totals(spark: SparkSession, folder: str, batch_ids: Sequence[str] | None = None) -> DataFrame:
+    """Sums over the committed batches, or those named: source, lang, tokenizer, n_docs, n_tokens.
 
-def totals(spark: SparkSession, folder: str, batch_ids: Sequence[str]) -> DataFrame:
-    """Sums over the committed batches: source, lang, tokenizer, n_docs, n_tokens."""
-    known = spark.read.schema(DELTA).parquet(*[f"{folder}/{b}" for b in dict.fromkeys(batch_ids)])
-    return known.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    A batch that a counted compaction replaces is not counted beside it.
+    """
+    # one row per batch; compaction keeps them few
+    known = {r.batch: r for r in committed(spark, folder).collect()}
+    wanted = list(known) if batch_ids is None else list(dict.fromkeys(batch_ids))
+    lost = [b for b in wanted if b not in known]
+    if lost:
+        raise ValueError(f"not committed: {', '.join(lost)}")
+    replaced = {b for w in wanted for b in known[w].replaces or []}
+    places = [f"{folder}/{known[b].place}" for b in wanted if b not in replaced]
+    rows = spark.read.schema(DELTA).parquet(*places) if places else spark.createDataFrame([], DELTA)
+    return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def compacted(spark: SparkSession, folder: str, batch_ids: Sequence[str], into: str) -> None:
-    """Write the totals of some batches as one batch, to read instead of them."""
-    totals(spark, folder, batch_ids).write.mode("overwrite").parquet(f"{folder}/{into}")
+    """Commit the totals of some batches as one batch that replaces them."""
+    known = {r.batch: r for r in committed(spark, folder).collect()}
+    inner = {b for w in batch_ids if w in known for b in known[w].replaces or []}
+    _commit(totals(spark, folder, batch_ids), folder, into, sorted({*batch_ids, *inner}))
