@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storelab.llm import (chat, edit_embedding, katz, mixing, near_dedup, packing, prefix_trie, quality_classifier, quality_rules,
                           rollups, sharding, substring_dedup, va_clustering)
+from storelab.operators.lookup import join_groups
 from storelab.session import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,8 +95,11 @@ def op8_token_rollups(spark, sf_dir):
     docs = documents(spark, sf_dir)
     digest = F.md5(F.coalesce("text", F.lit("")))
     counts = cut(rollups.token_counts(docs.select("doc_id", "source", "lang", "text", digest.alias("digest"))))
-    firsts = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    marked = cut(counts.join(firsts, "digest").withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))))
+    # only texts that occur twice can have a copy
+    firsts = (counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+              .where("n > 1").drop("n"))
+    marked = cut(join_groups(counts, firsts, "digest", "left")
+                 .withColumn("copy", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))))
     words, ids = ("words", F.col("n_words")), ("word_bpe_49k", F.col("n_ids"))
     inserts = rollups.changes(marked, "insert", *words).unionAll(rollups.changes(marked, "insert", *ids))
     copies = marked.where("copy")
@@ -106,7 +110,7 @@ def op8_token_rollups(spark, sf_dir):
     rollups.commit(deletes, folder, "batch-2")
     rollups.commit(deletes, folder, "batch-2")
     rollups.commit(revised, folder, "batch-3")
-    return rollups.totals(spark, folder, ["batch-1", "batch-2", "batch-3"])
+    return rollups.totals(spark, folder)
 
 
 @query("op9_quality_rules")
