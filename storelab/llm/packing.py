@@ -281,7 +281,8 @@ def packed(docs: DataFrame, tokenizer: str = WORD_TOKENIZER, size: int = SEQUENC
 
 def pack_pieces(made: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """Add sequence_id and offset to a written table of pieces."""
-    items = made.withColumn("row", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    # a number of its own for every written piece, so that equal ones are spread over groups
+    items = made.withColumn("row", F.monotonically_increasing_id())
     once = cut(_packed(items, made.count(), 0, size))
     poor = once.where(F.col("fill") < POOR * size)
     n_poor = poor.count()
