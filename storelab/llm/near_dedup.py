@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 
 from storelab.llm.graph import components
 from storelab.llm.wordkit import Hasher, Slice, binaries, group_starts, lists, mix64, parts, slices, windows
+from storelab.operators.lookup import join_groups
 from storelab.session import cut
 
 SHINGLE = 5
 PERCENT = 75
 BINS, BANDS, ROWS = 128, 32, 4
 FAMILY_BLOCK = 512
+# Pairs of one hub that one task confirms.
+HUB_PAIRS = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,12 +133,18 @@ def _sizes_allow() -> F.Column:
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
-    Only texts that occur in a pair are written and moved again.
+    Only texts that occur in a pair are written and moved again. The pairs of one ``a`` are
+    dealt to as many tasks as they need, ``HUB_PAIRS`` to each, and its text is copied to
+    each of these, not to each pair, before the shuffle.
     """
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = cut(docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi"))
-    both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"))
+    shares = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("shares")))
+    dealt = join_groups(pairs, shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
+    hubs = (texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).join(shares, "a")
+            .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares"))
+    both = (dealt.select("a", "b", "share").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+            .join(hubs, ["a", "share"]))
 
     def check(batches):
         hasher = Hasher()
@@ -261,8 +270,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with its smallest ``doc_id``.
 
-    Rows without ``doc_id`` stay. Of rows that share a kept ``doc_id`` one stays.
+    Rows without ``doc_id`` stay. Of rows that share a kept ``doc_id`` and have equal texts one stays.
     """
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    # a column of this name in the input would be hidden, so the name is one that no input has
+    named = named.withColumn("_text_of_repeats", F.md5("text")).dropDuplicates(["doc_id", "_text_of_repeats"])
     return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
