@@ -447,6 +447,72 @@ def test_rollups(spark, sf_dir, edge):
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
 
 
+def test_commits(spark, edge):
+    """Jobs that die, races and compactions leave totals right."""
+    from pyspark.sql import functions as F
+    counts = rollups.token_counts(edge)
+    folder = scratch_path(spark, "test-commits")
+    assert rollups.totals(spark, folder).collect() == []
+    inserts = rollups.changes(counts, "insert", "w", F.col("n_words"))
+    # a job that dies after writing its rows has committed nothing
+    rollups.deltas(inserts).write.parquet(f"{folder}/data/lost")
+    assert rollups.totals(spark, folder).collect() == []
+    rollups.commit(inserts, folder, "a")
+    once = sorted(map(str, rollups.totals(spark, folder).collect()))
+    # a batch committed again, with other rows, and one that raced
+    rollups.commit(inserts.limit(1), folder, "a")
+    rollups.deltas(inserts.limit(1)).write.parquet(f"{folder}/data/zz")
+    spark.range(1).select(F.lit("a").alias("batch"), F.lit("data/zz").alias("place"), F.array().cast("array<string>").alias("replaces")) \
+        .write.mode("append").parquet(f"{folder}/manifest")
+    assert sorted(map(str, rollups.totals(spark, folder).collect())) == once
+    rollups.commit(rollups.changes(counts.where("doc_id = 9"), "delete", "w", F.col("n_words")), folder, "b")
+    both = sorted(map(str, rollups.totals(spark, folder).collect()))
+    assert both != once
+    rollups.compacted(spark, folder, ["a", "b"], "ab")
+    rollups.compacted(spark, folder, ["ab"], "abc")
+    for ids in (None, ["a", "b"], ["a", "b", "ab"], ["ab"], ["abc", "a"]):
+        assert sorted(map(str, rollups.totals(spark, folder, ids).collect())) == both
+    with pytest.raises(ValueError, match="not committed: x"):
+        rollups.totals(spark, folder, ["a", "x"])
+
+
+def test_counts_replace_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, n_words long, n_ids string")
+    got = rollups.token_counts(df)
+    assert got.columns == ["doc_id", "n_words", "n_ids"] and got.first().n_words == 2
+
+
+def test_equal_pieces_fill_all_groups(spark, monkeypatch):
+    """Equal rows are dealt to groups like any other rows."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 500)
+    df = spark.range(2000).select(F_lit(None, "long").alias("doc_id"), F_lit("the same words", "string").alias("text"))
+    out = packing.packed(df).toPandas()
+    assert len(out) == 2000 and out.groupby("sequence_id").length.sum().max() <= 4096
+    assert (out.sequence_id // (1 << 32)).nunique() == 4
+
+
+def test_ids_with_two_texts(spark):
+    """Different texts that share an id both stay; the same text stays once."""
+    a, b = prose(40, 11), prose(40, 12)
+    df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (3, prose(40, 13))], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(df).collect())
+    assert kept == sorted([(1, a), (1, b), (3, prose(40, 13))])
+
+
+def test_crowded_hub(spark, monkeypatch):
+    """A hub with more pairs than one task takes gives the same groups."""
+    monkeypatch.setattr(near_dedup, "HUB_PAIRS", 3)
+    base = prose(60, 21).split()
+    rows = [(i, " ".join(base[:59] + [f"x{i}"])) for i in range(30)] + [(100 + i, prose(30, 30 + i)) for i in range(5)]
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {**{i: 0 for i in range(30)}, **{100 + i: 100 + i for i in range(5)}}
+
+
+def F_lit(value, kind):
+    from pyspark.sql import functions as F
+    return F.lit(value).cast(kind)
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (quality_classifier.classified(empty, labels), substring_dedup.digests(empty), substring_dedup.deduplicated(empty),
