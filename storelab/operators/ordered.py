@@ -97,8 +97,9 @@ def _ranked_quantiles(weights: DataFrame, probs: Sequence[float], by: list[str])
             hit = (F.col("upto") >= position) & (F.col("upto") - F.col("n") < position)
             return F.max(F.when(hit, F.col("value").cast("double")))
 
-        weight = F.max(rank - F.floor(rank))
-        picks.append(at(low) + (at(high) - at(low)) * weight)
+        # as the aggregate works it out, to the last bit
+        above, below = F.max(F.ceil(rank) - rank), F.max(rank - F.floor(rank))
+        picks.append(F.when(at(low) == at(high), at(low)).otherwise(above * at(low) + below * at(high)))
     return upto.groupBy(*by).agg(F.array(*picks).alias("q"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/storelab/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Empty the tables that ``cut`` writes inside, once the results were read or written.
+
+    A table is replaced by an empty one, which any file system that Spark writes to can do.
+    Frames made inside must not be read afterwards.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            spark.createDataFrame([], "emptied int").write.mode("overwrite").parquet(path)
+
+
 def cut(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Compute ``df`` once, as a parquet table in the shared folder, and read it back.
 
@@ -58,4 +77,6 @@ def cut(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.partitionBy(*by).parquet(path)
+    for made in _SCOPES[-1:]:
+        made.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
