@@ -206,10 +206,10 @@ class TextPrediction(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return max(fits, key=lambda f: f[0])[1]
 
 
-def pipeline(spec: dict, numeric: Sequence[str] = tuple(K.LEARN_NUMERIC),
-             categorical: Sequence[str] = (), text_model: dict | None = None,
-             text_limits: dict | None = None, allow_empty: bool = False) -> Pipeline:
-    """Pipeline of a spec whose ``features`` is ``numeric``, ``text`` or ``all``.
+def pipeline_steps(spec: dict, numeric: Sequence[str] = tuple(K.LEARN_NUMERIC), categorical: Sequence[str] = (),
+                   text_model: dict | None = None, text_limits: dict | None = None, allow_empty: bool = False) -> list[tuple[str, object]]:
+    """Named stages of a spec whose ``features`` is ``numeric``, ``text`` or ``all``; a name says all
+    that matters of a stage, so that searches fit equal ones once.
 
     ``all`` first adds the prediction of the text model; text runs read the column
     ``tokens``. ``text_model`` and ``text_limits`` replace the parameters kept for it.
@@ -217,13 +217,19 @@ def pipeline(spec: dict, numeric: Sequence[str] = tuple(K.LEARN_NUMERIC),
     kind = spec.get("features", "numeric")
     if kind == "text":
         limits = dict(minDF=spec.get("min_df", 0.25), maxDF=spec.get("max_df", 0.75), binary=spec.get("binary", False))
-        return Pipeline(stages=[TextPrediction([spec], limits, "prediction", allow_empty)])
+        return [(f"text {sorted(spec.items())}", TextPrediction([spec], limits, "prediction", allow_empty))]
     front = []
     if kind == "all":
         options = dict(tfidf=text_limits, allow_empty=allow_empty)
         predictor = TextPrediction(**options) if text_model is None else TextPrediction([text_model], **options)
-        front, numeric = [predictor], [*numeric, predictor.name]
-    return Pipeline(stages=[*front, *numeric_stages(numeric, categorical), *classifier(spec)])
+        front, numeric = [("text class", predictor)], [*numeric, predictor.name]
+    numbers = [(f"numbers {i}", s) for i, s in enumerate(numeric_stages(numeric, categorical))]
+    return [*front, *numbers, *[(f"model {i} {sorted(spec.items())}", s) for i, s in enumerate(classifier(spec))]]
+
+
+def pipeline(spec: dict, *args, **options) -> Pipeline:
+    """The stages of ``pipeline_steps`` as one pipeline."""
+    return Pipeline(stages=[s for _, s in pipeline_steps(spec, *args, **options)])
 
 
 def category_spec(category: str) -> dict:

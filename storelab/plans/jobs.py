@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -88,14 +89,19 @@ def model_table(learn: DataFrame, folds: int = 10, with_tokens: bool = True,
 CATEGORICAL = ["installs", "contentRating", "category_name"]
 
 
-def build(spec: dict, category: str | None = None, text_model: dict | None = None,
-          text_limits: dict | None = None) -> Pipeline:
-    """Pipeline of a learning model; category runs leave out installs and content rating.
+def build_steps(spec: dict, category: str | None = None, text_model: dict | None = None,
+                text_limits: dict | None = None) -> list[tuple[str, object]]:
+    """Named stages of a learning model; category runs leave out installs and content rating.
 
     Few rows may have no token within the limits; text then says the most frequent class.
     """
-    return models.pipeline(spec, K.LEARN_NUMERIC, CATEGORICAL if category is None else [],
-                           text_model, text_limits, allow_empty=True)
+    return models.pipeline_steps(spec, K.LEARN_NUMERIC, CATEGORICAL if category is None else [],
+                                 text_model, text_limits, allow_empty=True)
+
+
+def build(spec: dict, category: str | None = None, **text_options) -> Pipeline:
+    """Pipeline of a learning model."""
+    return Pipeline(stages=[s for _, s in build_steps(spec, category, **text_options)])
 
 
 def train_run(table: DataFrame, searches: dict[str, dict] | None = None, folds: int = 10,
@@ -108,8 +114,11 @@ def train_run(table: DataFrame, searches: dict[str, dict] | None = None, folds:
         if text and "features" not in spec:
             spec["features"] = "all"
         candidates = [{**spec, **c} for c in tuning.grid(options)]
-        found = tuning.search(table, lambda c: build(c, category, **text_options), candidates, folds)
-        row = tuning.best_candidate(found).withColumn("model", F.lit(name))
+        found, fits = tuning.search_steps(table, lambda c: build_steps(c, category, **text_options), candidates, folds)
+        steps = [n.split(" ")[0] for n, _ in build_steps(spec, category, **text_options)]
+        row = tuning.best_candidate(cut(found)).withColumns({
+            "model": F.lit(name), "grid": F.lit(json.dumps(options)), "steps": F.lit(", ".join(dict.fromkeys(steps))),
+            "features": F.lit(", ".join([*K.LEARN_NUMERIC, *(CATEGORICAL if category is None else [])])), "fits": F.lit(fits)})
         results = scoreboard.append_results(results, row)
     drawn = models.dummy_predictions(table, "price_class", "appId").select(
         "fold", F.col("price_class").alias("y_eval"), "y_pred")
