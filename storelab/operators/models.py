@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from storelab import constants as K
 from storelab.operators.boosting import SoftmaxBoosting
+from storelab.operators.linear import SgdClassifier
 from storelab.operators.ordered import mode_rows
 from storelab.operators.profile import class_balance
 from storelab.operators.split import share_of
@@ -90,6 +91,8 @@ def _classifier(spec: dict, features: str, seed: int) -> list:
         base = LinearSVC(**common, regParam=1.0 / get("cost", 10.0), maxIter=get("iterations", 50),
                          tol=get("tol", 0.01))
         return [OneVsRest(classifier=base, parallelism=4, **common)]
+    if kind == "sgd":
+        return [SgdClassifier(**common, loss=get("loss", "hinge"), penalty=get("penalty", "l2"), alpha=get("alpha", 0.0001), seed=seed)]
     if kind == "knn":
         return [VectorNeighbours(inputCol=features, labelCol="label", k=get("k", 10), weights=get("weights", "uniform"))]
     if kind == "mlp":
@@ -118,9 +121,9 @@ MODEL_LISTS = {
     "price": [dict(kind="linear", alpha=0.0001), dict(kind="knn", k=10), dict(kind="tree")],
 }
 OTHER_MODELS = {
-    "text": [dict(kind="logistic", alpha=0.007), dict(kind="knn", k=10), dict(kind="forest", trees=500),
+    "text": [dict(kind="sgd", loss="log", alpha=0.007), dict(kind="knn", k=10), dict(kind="forest", trees=500),
              dict(kind="gbt", rate=0.1, trees=500, depth=3), dict(kind="mlp", hidden=(10, 10, 10))],
-    "class": [dict(kind="svm", cost=100.0), dict(kind="knn", k=10), dict(kind="gaussian"),
+    "class": [dict(kind="sgd", loss="hinge", alpha=0.01), dict(kind="knn", k=10), dict(kind="gaussian"),
               dict(kind="tree"), dict(kind="mlp", hidden=(10, 10, 10))],
 }
 

@@ -33,12 +33,12 @@ KINDS = {"forest_numeric": dict(kind="forest"), "gradient_numeric": dict(kind="g
 # Grids of the report runs.
 _BOOSTING = dict(kind="gbt", rate=0.1, trees=500, depth=3)
 REPORT_GRIDS = {
-    "text": [*[dict(kind="logistic", alpha=a, penalty=p) for a in (0.001, 0.0001, 0.01) for p in ("l1", "l2")],
+    "text": [*[dict(kind="sgd", loss="hinge", alpha=a, penalty=p) for a in (0.001, 0.0001, 0.01) for p in ("l1", "l2")],
              *[dict(kind="knn", k=k, weights=w) for k in (5, 10, 20) for w in ("uniform", "distance")]],
     "class": [dict(kind="mlp", hidden=h) for h in ((5, 5), (100,), (100, 100), (10, 10, 10))],
     "preprocess": [dict(_BOOSTING, k_best=k, score=s) for k in (10, 15, 30) for s in ("chi2", "f")],
-    "ngrams": [dict(kind="logistic", alpha=0.0001, grams=g) for g in ((3, 3), (2, 4), (3, 5))],
-    "text_models": [dict(kind="logistic", alpha=0.0001), dict(kind="knn", k=10, weights="distance")],
+    "ngrams": [dict(kind="sgd", loss="hinge", alpha=0.0001, grams=g) for g in ((3, 3), (2, 4), (3, 5))],
+    "text_models": [dict(kind="sgd", loss="hinge", alpha=0.0001), dict(kind="knn", k=10, weights="distance")],
 }
 
 

@@ -80,6 +80,16 @@ def linear_classify(spark, sf_dir):
                                         dict(kind="logistic", alpha=0.001, penalty="l1")])
 
 
+@query("sgd_classify")
+def sgd_classify(spark, sf_dir):
+    """Linear models by gradient steps, for both losses and penalties."""
+    out = None
+    for loss, penalty, alpha in (("hinge", "l2", 0.01), ("log", "l2", 0.007), ("hinge", "l1", 0.001)):
+        part = _predict(spark, sf_dir, dict(kind="sgd", loss=loss, penalty=penalty, alpha=alpha)).withColumn("model", F.lit(f"{loss} {penalty}"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("svm_classify")
 def svm_classify(spark, sf_dir):
     return _predict(spark, sf_dir, dict(kind="svm", features="text", max_df=0.6, cost=10.0, iterations=1000))
