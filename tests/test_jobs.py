@@ -1,11 +1,13 @@
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from storelab.operators import encode, models, tuning
+from storelab.operators import encode, models, stages, tuning
 from storelab.plans import jobs, queries_models as q, tables
 from storelab.plans.registry import AS_OF
 from storelab.sources.apps import apps
-from storelab.session import scratch_path
+from storelab.session import cut, scratch_path
+from storelab.sources import store
 
 
 @pytest.fixture(scope="module")
@@ -18,19 +20,118 @@ def parts(df):
 
 
 @pytest.mark.parametrize("switch,part", [
-    (dict(with_text=True), "report"), (dict(text_only=True), "report"), (dict(cross_validate=True), "curve"),
-    (dict(selector="f", k_best=5), "accuracy")])
-def test_report_runs(report, switch, part):
-    out = jobs.train_predict(report, jobs.RunConfig(trees=1, depth=2, **switch))
+    (dict(cross_validate=True), "curve"), (dict(selector="f", k_best=5), "accuracy"),
+    (dict(price_as_class=False, cross_validate=True), "curve")])
+def test_report_runs(report, monkeypatch, switch, part):
+    monkeypatch.setitem(models.MODEL_LISTS, "class", [dict(kind="gbt", trees=5, depth=2)])
+    monkeypatch.setitem(models.MODEL_LISTS, "price", [dict(kind="linear")])
+    out = jobs.train_predict(report, jobs.RunConfig(**switch))
     assert ("all", part) in parts(out)
 
 
-def test_report_run_per_category(report):
-    config = jobs.RunConfig(trees=1, depth=2, per_category=True, min_rows=40)
+def test_report_run_per_category(report, monkeypatch):
+    monkeypatch.setitem(models.MODEL_LISTS, "class", [dict(kind="gbt", trees=5, depth=2)])
+    config = jobs.RunConfig(per_category=True, min_rows=40)
     found = {c for c, _ in parts(jobs.train_predict(report, config))}
     assert found and all(c.startswith("category_") for c in found)
 
 
+def test_report_run_stores_what_it_did(spark, report, monkeypatch):
+    """Reports, columns and the fitted pipeline are read back from the folder of the run."""
+    monkeypatch.setitem(models.MODEL_LISTS, "class", [dict(kind="gbt", trees=5, depth=2), dict(kind="knn", k=3)])
+    folder = scratch_path(spark, "documents")
+    out = jobs.train_predict(report, jobs.RunConfig(documents=folder))
+    rows = out.collect()
+    assert {r.model for r in rows} == {"gbt", "knn"}
+    assert {r.part for r in rows} == {"accuracy", "precision", "recall", "report", "detail"}
+    for kind in ("gbt", "knn"):
+        shares = {}
+        for r in rows:
+            if r.model == kind and r.part == "detail":
+                shares[r.item[0]] = shares.get(r.item[0], 0) + r.value
+        assert all(v == pytest.approx(1) for v in shares.values()) and len(shares) == 4
+    assert spark.read.csv(f"{folder}/all/class_report_noText", header=True).count() == len(rows)
+    columns = [r.column for r in spark.read.csv(f"{folder}/all/columns", header=True).orderBy(F.col("position").cast("int")).collect()]
+    used = cut(jobs.report_rows(jobs.safe_names(report)))
+    assert columns == stages.numeric_columns(used, jobs.LEFT_OUT)
+    loaded = store.load_model(store.model_path(folder, "gbt"))
+    test = used.where("fold = 1")
+    hits = loaded.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert hits == pytest.approx(next(r.value for r in rows if (r.model, r.part, r.item) == ("gbt", "accuracy", "test")))
+
+
+def test_grid_report(report, monkeypatch):
+    """The best candidate by mean score is fitted again and scored on the test rows."""
+    grid = [dict(kind="gbt", trees=t, depth=1, k_best=k) for k in (3, 6) for t in (1, 8)]
+    monkeypatch.setitem(jobs.REPORT_GRIDS, "class", grid)
+    rows = jobs.train_predict(report, jobs.RunConfig(grid_search=True)).collect()
+    means = [r.value for r in rows if r.part == "grid"]
+    best = next(r for r in rows if r.part == "best_score")
+    assert len(means) == 4 and best.value == pytest.approx(max(means)) and best.model == "gbt"
+    told = dict(r.item.split("=") for r in rows if r.part == "best_parameter")
+    assert told["kind"] == "gbt" and set(told) == {"kind", "trees", "depth", "k_best"}
+    assert {r.item for r in rows if r.part == "accuracy"} == {"train", "test"} and any(r.part == "report" for r in rows)
+    with pytest.raises(ValueError, match="no grid"):
+        jobs.train_predict(report, jobs.RunConfig(grid_search=True, price_as_class=False))
+
+
+def test_searches_share_fits(spark):
+    """Candidates with the same first steps fit them once per fold, with the scores of a plain search."""
+    rows = [(i, float(i % 5), float(i % 3), float(i % 7), float(i % 2 + (i % 3 > 1)), i % 3 + 1) for i in range(210)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, label double, fold int")
+    candidates = [dict(kind="tree", depth=d, k=k) for k in (1, 2) for d in (1, 2, 3)]
+
+    def steps(c):
+        return [("scale", stages.MinMaxColumns(inputCols=["a", "b", "c"])), (f"best {c['k']}", stages.BestColumns(inputCols=["a", "b", "c"], k=c["k"])),
+                (f"tree {c['depth']}", models.classifier(c)[0])]
+
+    found, fits = tuning.search_steps(df, steps, candidates, 3)
+    assert fits == 3 * (1 + 2 + 6)
+    plain = tuning.search(df, lambda c: Pipeline(stages=[s for _, s in steps(c)]), candidates, 3)
+    keys = ["candidate", "fold", "split", "f1_weighted", "accuracy"]
+    assert sorted(map(str, found.select(*keys).collect())) == sorted(map(str, plain.select(*keys).collect()))
+
+
+def test_rows_without_stars_stay(spark, report):
+    """Only rows without a text or a price go; repeated ids give the same folds twice."""
+    n = report.where("text is not null and price is not null and price_range_index is not null").count()
+    twice = report.unionAll(report.orderBy("appId").limit(5))
+    made = [jobs.report_rows(jobs.safe_names(df)) for df in (report, twice, twice)]
+    assert made[0].count() == n
+    folds = [sorted((r.appId, r.fold) for r in m.collect()) for m in made[1:]]
+    assert folds[0] == folds[1] and len(folds[0]) == n + twice.count() - report.count()
+
+
+def test_names_stay_apart(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["a.b", "a b", "a_b"])
+    assert jobs.safe_names(df).columns == ["a_b", "a_b_2", "a_b_3"]
+
+
+def test_scoreboard_run(spark, sf_dir):
+    """Predictions, model and board are read back from what the run wrote."""
+    table, folder = q._folded(q.model_table(spark, sf_dir), 2), scratch_path(spark, "board")
+    name = "fd_numeric_forest_numeric"
+    board = spark.createDataFrame([(7, "all"), (8, "OTHER")], "Runs int, Category string")
+    jobs.scoreboard_run(table, name, folder, 2, board=board)
+    read = {r.Category: r for r in store.read_scoreboard(spark, f"{folder}/scoring", [name]).collect()}
+    preds = spark.read.parquet(f"{folder}/predictions")
+    assert preds.count() == table.count() and preds.where("diff <> y_pred - y_eval").count() == 0
+    hits = preds.agg(F.avg((F.col("y_pred") == F.col("y_eval")).cast("double"))).first()[0]
+    assert read["all"][f"{name}___acc"] == pytest.approx(hits) and read["OTHER"][f"{name}___acc"] is None and read["all"].Runs == 7
+    assert store.load_model(store.model_path(folder, name)).transform(table).count() == table.count()
+
+
+def test_category_runs(spark, sf_dir):
+    """Each category with enough rows has a row; an empty name is a category like others."""
+    table = q.category_table(spark, sf_dir)
+    scores = jobs.category_models(table, 2, min_rows=25)
+    sizes = {r.category: r["count"] for r in table.groupBy("category").count().collect()}
+    assert {r.Category for r in scores.collect()} == {c for c, n in sizes.items() if n >= 25 and c is not None}
+    df = spark.createDataFrame([("", 1), ("a", 2), (None, 3)], "category string, n int")
+    got = tuning.per_category(df, lambda c, rows: rows.select(F.lit(c).alias("c"), "category", "n"), rows=1)
+    assert sorted(map(tuple, got.collect())) == [("", "", 1), ("a", "a", 2)]
+
+
 def test_documents(spark, sf_dir):
     raw = apps(spark, sf_dir, tables.REPORT_SOURCE)
     columns = tables.report_columns(raw, "2002-01-01")

@@ -43,6 +43,16 @@ def test_quantiles(skewed, small):
     assert whole == pytest.approx(list(np.percentile([v for _, _, v in rows], [p * 100 for p in probs])))
 
 
+def test_quantile_paths_agree(skewed):
+    """Both ways to work out a quantile give the same bits."""
+    _, df = skewed
+    df = df.withColumn("v", F.col("v") / 3)
+    probs = [i / 37 for i in range(38)]
+    for by in ([], ["g"]):
+        small, large = (sorted(map(str, quantiles(df, "v", probs, by, small=n).collect())) for n in (100_000, 0))
+        assert small == large
+
+
 def test_quartile_of_few(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (10.0,), (None,)], "v double")
     for small in (0, 10):
