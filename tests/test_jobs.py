@@ -146,7 +146,17 @@ def test_sparse_one_hot(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "c string")
     model = encode.one_hot_sparse(df, ["c"])
     rows = model.transform(df).collect()
-    assert [list(r.c_vec.toArray()) for r in rows] == [[0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]
+    found = sorted((str(r.c), list(r.c_vec.toArray())) for r in rows)
+    assert found == [("None", [0.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("b", [0.0, 1.0])]
+
+
+def test_any_number_of_levels(spark):
+    df = spark.range(1500).select(F.concat(F.lit("v"), F.col("id") % 500).alias("c"), "id")
+    rows = encode.one_hot_sparse(df, ["c"]).transform(df).collect()
+    places = {r.c: list(r.c_vec.indices) for r in rows}
+    assert len(rows) == 1500 and {r.c_vec.size for r in rows} == {500}
+    assert [places[c] for c in sorted(places)] == [[i] for i in range(500)]
+    assert len(encode.one_hot(df, ["c"]).columns) == 501
 
 
 def test_grids():
