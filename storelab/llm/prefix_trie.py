@@ -305,6 +305,7 @@ def _end_digests(ends: DataFrame) -> DataFrame:
 def trie(paths: DataFrame, shard_nodes: int = SHARD_NODES, least_paths: int = LEAST_PATHS) -> DataFrame:
     """Per node of the trie over (conv_id, key, chars): conv_id, depth, parent_conv_id, n_convs,
     n_children, n_leaves, saved_tokens, ends_sha256."""
+    least_paths = max(least_paths, 4)  # a shard leaves two paths, so fewer would not make levels smaller
     order = ["key", "conv_id"]
     ranged = paths.repartitionByRange(*order).sortWithinPartitions(*order)
     made = cut(_level(ranged, True, False, shard_nodes, least_paths), ["kind"])
