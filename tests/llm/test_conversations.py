@@ -28,7 +28,7 @@ def told(spark):
             (200, 0, "system", "same"), (200, 1, "user", "u"), (200, 2, "assistant", "yes"), (-7, 0, "user", MARKS)]
     long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 8))) for _ in range(30_000))
     rows += [(5, 0, "assistant", long), (5, 1, "user", "short"), (5, 2, "assistant", long[::-1] + "\n\n" + "x" * 200_000)]
-    rows += [(6, i, "assistant" if i % 2 else "user", f"turn {i} " * (i % 9)) for i in range(3000)]
+    rows += [(6, i, "assistant" if i % 2 else "user", f"turn {i} " * (i % 9)) for i in range(120)]
     rows += [(1000 + c, t, "user", "one text") for c in range(60) for t in range(c % 4 + 1)]
     rows += [(1100 + c, t, "user", f"{c % 3 if t > 2 else 0}") for c in range(90) for t in range(c % 7)]
     return spark.createDataFrame(extra(rows), SCHEMA).repartition(7)
