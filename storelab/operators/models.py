@@ -7,9 +7,9 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC,
-                                       LogisticRegression, MultilayerPerceptronClassifier,
-                                       NaiveBayes, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
+                                       MultilayerPerceptronClassifier, NaiveBayes,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import Binarizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
@@ -21,6 +21,7 @@ from storelab import constants as K
 from storelab.operators.boosting import SoftmaxBoosting
 from storelab.operators.linear import SgdClassifier
 from storelab.operators.ordered import mode_rows
+from storelab.operators.pairwise import PairwiseMargins
 from storelab.operators.profile import class_balance
 from storelab.operators.split import share_of
 from storelab.operators.terms import TermBayes, TermNeighbours, TfIdf, VectorNeighbours
@@ -56,10 +57,9 @@ def classifier(spec: dict, features: str = "features", prediction: str = "predic
     names = dict(predictionCol=prediction, rawPredictionCol=f"{features}_raw_prediction",
                  probabilityCol=f"{features}_probability")
     model = stages[-1]
-    for part in [model, model.getClassifier()] if isinstance(model, OneVsRest) else [model]:
-        for param, name in names.items():
-            if part.hasParam(param):
-                part.set(part.getParam(param), name)
+    for param, name in names.items():
+        if model.hasParam(param):
+            model.set(model.getParam(param), name)
     return stages
 
 
@@ -88,9 +88,7 @@ def _classifier(spec: dict, features: str, seed: int) -> list:
         return [LogisticRegression(**common, regParam=get("alpha", 0.01), maxIter=get("iterations", 50),
                                    elasticNetParam=1.0 if get("penalty", "l2") == "l1" else 0.0)]
     if kind == "svm":
-        base = LinearSVC(**common, regParam=1.0 / get("cost", 10.0), maxIter=get("iterations", 50),
-                         tol=get("tol", 0.01))
-        return [OneVsRest(classifier=base, parallelism=4, **common)]
+        return [PairwiseMargins(**common, cost=get("cost", 10.0), iterations=get("iterations", 1000), tol=get("tol", 0.01), seed=seed)]
     if kind == "sgd":
         return [SgdClassifier(**common, loss=get("loss", "hinge"), penalty=get("penalty", "l2"), alpha=get("alpha", 0.0001), seed=seed)]
     if kind == "knn":
