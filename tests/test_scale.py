@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from storelab.operators import terms, text
+from storelab.operators import models, terms, text, tuning
 from storelab.operators.table_model import ROW, numbered
 
 
@@ -52,3 +52,48 @@ def test_neighbours_keep_k_rows_of_a_block(spark, monkeypatch, block):
     names = {r[ROW]: r.id for r in asked.collect()}
     for r in model.search(asked).collect():
         assert r.near % 40 == names[r.row] and abs(r.distance) < 1e-6 and r.near == names[r.row] + 40 * (r["rank"] - 1)
+
+
+def _listings(spark, n=60):
+    return spark.range(n).select(
+        F.col("id").cast("string").alias("appId"), (F.col("id") % 3 + 1).cast("int").alias("fold"), (F.col("id") % 2).cast("double").alias("label"),
+        F.col("id").cast("double").alias("a"), F.array(F.lit("w"), F.concat(F.lit("t"), (F.col("id") % 5).cast("string"))).alias("tokens"),
+        F.repeat(F.lit("long text "), 10).alias("text"))
+
+
+def test_only_read_columns_are_written(spark, monkeypatch):
+    """Texts and tokens are not written again by searches and cross-validation that do not read them."""
+    written = []
+    cut = tuning.cut
+    monkeypatch.setattr(tuning, "cut", lambda df, *by: written.append(df.columns) or cut(df, *by))
+    df, spec = _listings(spark), dict(kind="tree", depth=2)
+    out = tuning.cross_val_predict(df, lambda: models.pipeline(spec, ["a"]), 3, keep=["appId"])
+    assert out.count() == 60 and set(out.columns) == {"appId", "fold", "label", "prediction", "y_pred", "y_eval"}
+    found, _ = tuning.search_steps(df, lambda c: models.pipeline_steps(c, ["a"]), [spec], 3)
+    assert found.count() == 6
+    assert tuning.search(df, lambda c: models.pipeline(c, ["a"]), [spec], 3).count() == 6
+    assert tuning.learning_curve(df, lambda: models.pipeline(spec, ["a"]), "appId", sizes=(0.5, 1.0), folds=3).count() == 4
+    assert written and not any({"text", "tokens"} & set(c) for c in written)
+
+
+def test_steps_behind_text_read_few_columns(spark, monkeypatch):
+    """The text step is written once without its tokens; the fitted pipeline says the same as a plain one."""
+    written = []
+    cut = tuning.cut
+    monkeypatch.setattr(tuning, "cut", lambda df, *by: written.append(df.columns) or cut(df, *by))
+    df = _listings(spark)
+    stages = [models.TextPrediction([dict(kind="multinomial")], dict(minDF=0.0), "said"),
+              *models.pipeline(dict(kind="tree", depth=2), ["a", "said"]).getStages()]
+    fitted = tuning.fit_stages(stages, df)
+    assert [set(c) for c in written] == [{"a", "label", "said"}]
+    want = models.Pipeline(stages=stages).fit(df).transform(df).select("appId", "prediction").collect()
+    assert sorted(fitted.transform(df).select("appId", "prediction").collect()) == sorted(want)
+
+
+def test_number_table_has_no_text(spark, sf_dir):
+    """Models on numbers get the same rows, classes and folds as the others, without texts."""
+    from storelab.plans import queries_models
+    numbers, every = queries_models.number_table(spark, sf_dir), queries_models.model_table(spark, sf_dir)
+    assert {"text", "tokens"} <= set(every.columns) and not {"text", "tokens"} & set(numbers.columns)
+    columns = ["appId", "price_class", "label", "fold"]
+    assert sorted(numbers.select(columns).collect()) == sorted(every.select(columns).collect())
