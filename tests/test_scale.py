@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storelab.operators import models, terms, text, tuning
+from storelab.operators import knn, models, terms, text, tuning
 from storelab.operators.table_model import ROW, numbered
 
 
@@ -97,3 +98,29 @@ def test_number_table_has_no_text(spark, sf_dir):
     assert {"text", "tokens"} <= set(every.columns) and not {"text", "tokens"} & set(numbers.columns)
     columns = ["appId", "price_class", "label", "fold"]
     assert sorted(numbers.select(columns).collect()) == sorted(every.select(columns).collect())
+
+
+def test_closest_measures_few_rows(monkeypatch):
+    """The same neighbours as a full measurement, with distances of a few rows alone; copies count in order."""
+    rng = np.random.default_rng(4)
+    base, points = rng.normal(size=(500, 8)), rng.normal(size=(20, 8))
+    base[300:310] = base[5]
+    points[0] = base[5]
+    want = knn._distances(base, points)
+    measured = []
+    plain = knn._distances
+    monkeypatch.setattr(knn, "_distances", lambda b, p: measured.append(len(b)) or plain(b, p))
+    own, pick, d = knn._closest(base, points, 5)
+    for i in range(20):
+        order = np.argsort(want[i], kind="stable")[:5]
+        assert list(pick[own == i]) == list(order) and list(d[own == i]) == list(want[i][order])
+    assert sum(measured) < 20 * 20
+
+
+def test_tfidf_counts_once(spark):
+    """Words are counted once, for the shares of documents and for the weights."""
+    docs = spark.createDataFrame([(i, f"word{i % 2} every") for i in range(6)], "id int, text string")
+    counts = text.term_counts(docs, "id", text.tokens(F.col("text")))
+    plan = text.tfidf(counts, docs, "id", 0.25, 0.75)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    assert text.tfidf(counts, docs, "id", 0.25, 0.75).count() == 6
