@@ -26,6 +26,8 @@ is kept; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from storelab.llm.graph import components
 from storelab.llm.wordkit import Hasher, Slice, binaries, group_starts, lists, mix64, parts, slices, windows
-from storelab.operators.lookup import join_groups
+from storelab.operators.lookup import in_few_tasks, join_groups
 from storelab.session import cut
 
 SHINGLE = 5
@@ -95,9 +97,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return densified(first.reshape(-1, BINS), filled.reshape(-1, BINS))
 
 
+def _digest(text: bytes) -> str:
+    """Names the text with A-Z lower-cased; texts with the same words but other blanks meet later."""
+    return hashlib.md5(text.lower()).hexdigest()
+
+
 def _sign(batches):
     hasher = Hasher()
-    for batch in parts(batches, 2048):
+    for batch in parts(batches, 512):
         sizes, rows = [], []
         for s in slices(batch.column("text")):
             sets = shingle_sets(s, hasher)
@@ -109,19 +116,15 @@ def _sign(batches):
         keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD, (n, 1))
         for r in range(ROWS):
             keys = mix64(keys + sig[:, r::ROWS])
+        digests = pa.array([_digest(x) for x in batch.column("text").cast(pa.binary()).to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("digest"), pa.array(size),
+            [batch.column("doc_id"), digests, pa.array(size),
              lists(keys.ravel().view(np.int64), np.arange(n + 1) * BANDS, pa.int64())],
             ["doc_id", "digest", "n", "bands"])
 
 
-def _digest() -> F.Column:
-    """Names the lower-cased text; texts with the same words but other blanks meet later."""
-    return F.md5(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-
 def signed(docs: DataFrame) -> DataFrame:
-    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", _digest())
+    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return narrow.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
                                     "digest string, n long, bands array<long>")
 
@@ -137,9 +140,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt to as many tasks as they need, ``HUB_PAIRS`` to each, and its text is copied to
     each of these, not to each pair, before the shuffle.
     """
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    n = pairs.count()
+    ids = cut(in_few_tasks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n))
     texts = cut(docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi"))
-    shares = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("shares")))
+    shares = cut(in_few_tasks(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("shares")), n))
     dealt = join_groups(pairs, shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
     hubs = (texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).join(shares, "a")
             .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares"))
@@ -192,12 +196,12 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 
 def _links_of_blocks(key, table):
-    """One link for each two components that have any between two blocks of a family."""
+    """Each two components that have a link between two blocks of a family, once."""
     rows = table.to_pylist()
     first, second = key[1].as_py(), key[2].as_py()
     left = [r for r in rows if r["own"] == first]
     right = [r for r in rows if r["own"] == second]
-    found: dict = {}
+    found: set = set()
     if left and right:
         sets = [[np.frombuffer(r["codes"], np.uint64) for r in side] for side in (left, right)]
         sizes = [np.array([len(x) for x in side], float) for side in sets]
@@ -205,18 +209,17 @@ def _links_of_blocks(key, table):
         near = 100 * common >= PERCENT * (sizes[0][:, None] + sizes[1][None] - common)
         parts_of = [np.array([r["component"] for r in side]) for side in (left, right)]
         near &= parts_of[0][:, None] != parts_of[1][None]
-        for i, j in zip(*np.nonzero(near)):
-            found.setdefault((parts_of[0][i], parts_of[1][j]), (left[i]["rep"], right[j]["rep"]))
+        found = {(left[i]["component"], right[j]["component"]) for i, j in zip(*np.nonzero(near))}
     kind = table.schema.field("rep").type
-    return pa.table({"a": pa.array([x for x, _ in found.values()], kind), "b": pa.array([x for _, x in found.values()], kind)})
+    return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
 
 
 def _open_links(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between rows (family, rep, component) of one family and different components.
+    """The components (a, b) that links between rows (family, rep, component) of one family join.
 
     The rows of a family are dealt into blocks of about ``FAMILY_BLOCK``; a task compares
-    two blocks by the exact sizes of all their intersections and returns at most one link
-    for each two components, so no pair of rows is ever a row of a table.
+    two blocks by the exact sizes of all their intersections and returns each two linked
+    components once, so no pair of rows is ever a row of a table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sizes = open_rows.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("n"))
@@ -227,7 +230,7 @@ def _open_links(open_rows: DataFrame, docs: DataFrame) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
              .select("family", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"),
                      "own", "rep", "component", "codes"))
-    return dealt.groupBy("family", "first", "second").applyInArrow(_links_of_blocks, f"a {kind}, b {kind}").distinct()
+    return dealt.groupBy("family", "first", "second").applyInArrow(_links_of_blocks, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,27 +242,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = reps.select(F.explode("bands").alias("key"), "rep", "n")
     hubs = (members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last"))
             .where("h.rep <> last").select("key", F.col("h.rep").alias("a"), F.col("h.n").alias("na")))
-    starred = cut(members.withColumnsRenamed({"rep": "b", "n": "nb"}).join(hubs, "key").where("a <> b")
-                  .select("a", "b", "na", "nb").distinct())
+    # written, as the stars and what they leave open both read the buckets of several classes
+    shared = cut(members.join(hubs, "key"))
+    n = shared.count()
+    starred = cut(in_few_tasks(shared.where("a <> rep").select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb")).distinct(), n))
     links = cut(confirmed(starred.where(_sizes_allow()).select("a", "b"), docs))
-    found = components(links)
+    found = components(links, rows=links.count())
 
     # what the stars have left open: members of one bucket in different components
-    shared = members.join(hubs.select("key"), "key", "left_semi")
-    labelled = (shared.join(found, shared.rep == found.node, "left")
+    labelled = (shared.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left")
                 .select("key", "rep", F.coalesce("component", "rep").alias("component")))
     mixed = (labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("key"))
-    still = labelled.join(mixed, "key", "left_semi").select("rep", "component").distinct()
-    families = components(starred).withColumnsRenamed({"component": "family"})
-    open_rows = cut(still.join(families, still.rep == families.node, "left")
-                    .select(F.coalesce("family", "rep").alias("family"), "rep", "component"))
-    more = cut(_open_links(open_rows, docs))
-    if more.limit(1).count():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-
+    still = cut(in_few_tasks(labelled.join(mixed, "key", "left_semi").select("rep", "component").distinct(), n))
     named = (reps.join(found, reps.rep == found.node, "left")
-             .select("digest", F.coalesce("component", "rep").alias("component_id")))
+             .select("digest", F.coalesce("component", "rep").alias("component")))
+    if still.count():
+        # components take the place of their rows: only stars that were not confirmed join them to families
+        crossing = starred.select("a", "b").join(links, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            own = found.select(F.col("node").alias(end), F.col("component").alias("c"))
+            crossing = join_groups(crossing, own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        families = components(crossing, rows=n).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        open_rows = cut(join_groups(still, families, "component", "left")
+                        .select(F.coalesce("family", "component").alias("family"), "rep", "component"))
+        merged = components(_open_links(open_rows, docs), rows=n).select(F.col("node").alias("component"), F.col("component").alias("c"))
+        named = join_groups(named, merged, "component", "left").select("digest", F.coalesce("c", "component").alias("component"))
+    named = named.withColumnRenamed("component", "component_id")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     linked = out.join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -533,3 +533,30 @@ def test_pipeline(spark, sf_dir, docs):
     ids = {r.doc_id for r in now.collect()}
     packed = c.run(spark, sf_dir).toPandas()
     assert set(packed.doc_id) == ids
+
+
+def test_components_end_when_all_edges_are_stars(spark, monkeypatch):
+    """Stars need no further round, and chains, repeated and turned edges end in stars."""
+    from storelab.llm import graph
+    rounds = []
+    monkeypatch.setattr(graph, "_small_star", lambda *a, real=graph._small_star: rounds.append(1) or real(*a))
+    stars = [(1, 5), (6, 1), (1, 5), (2, 9), (3, 3)]
+    found = graph.components(spark.createDataFrame(stars, "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {(5, 1), (6, 1), (9, 2)} and not rounds
+    chain = [(i, i + 1) for i in range(10, 40)] + [(50, 45), (45, 45)]
+    found = graph.components(spark.createDataFrame(chain, "a long, b long"), rows=32)
+    assert {tuple(r) for r in found.collect()} == {(i, 10) for i in range(11, 41)} | {(50, 45)} and len(rounds) < 8
+    assert not graph.components(spark.createDataFrame([], "a long, b long")).count()
+
+
+def test_open_rows_join_components_of_one_family(spark):
+    """A link that no star tests: the hub of the bucket is near neither, yet both join by the blocks."""
+    def text(start, n):
+        return " ".join(f"w{i}" for i in range(start, start + n))
+
+    rows = [(1, text(0, 100) + " " + text(1000, 60)), (2, text(0, 100) + " " + text(2000, 60)),
+            (3, text(0, 100) + " " + text(2000, 59) + " x"), (4, text(0, 100) + " " + text(2000, 60).upper()), (5, "a b"), (6, None)]
+    rows += [(10 + i, text(0, 100) + " " + text(3000 + 100 * i, 60)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {**{i: i for i, _ in rows}, 3: 2, 4: 2}
