@@ -195,3 +195,24 @@ def test_later_versions_are_filled(spark):
     out = tables.add_version_numbers(df, F.lit("4.1")).collect()
     found = [(r.requiredAndroidVersion_major, r.requiredAndroidVersion_minor) for r in out]
     assert found == [(4, 4), (4, 1), (4, 1), (4, 1), (4, 1), (2, 3)]
+
+
+def test_search_does_unfitted_first_steps_once_and_branches_side_by_side(spark, monkeypatch):
+    import threading
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+    from storelab.operators import models, tuning
+    from storelab.operators.stages import MinMaxColumns
+    done, together = [], threading.Barrier(2, timeout=60)
+    plain = SQLTransformer(statement="SELECT *, a + 1 AS b FROM __THIS__")
+    monkeypatch.setattr(plain, "transform", lambda df: done.append(1) or SQLTransformer(statement=plain.getStatement()).transform(df))
+
+    class Meets(MinMaxColumns):
+        def _fit(self, dataset):
+            together.wait()  # breaks unless the two candidates of a fold are fitted at one time
+            return super()._fit(dataset)
+
+    df = spark.createDataFrame([(float(i), float(i % 2), 1 + i % 4 // 2) for i in range(24)], "a double, label double, fold int")
+    steps = lambda c: [("plain", plain), (f"meets {c['i']}", Meets(inputCols=["a"])),
+                       ("vector", VectorAssembler(inputCols=["a", "b"], outputCol="features")), ("model", models.classifier(dict(kind="tree"))[0])]
+    found, fits = tuning.search_steps(df, steps, [dict(i=0), dict(i=1)], 1)
+    assert found.count() == 4 and fits == 7 and done == [1]
