@@ -197,6 +197,13 @@ def test_later_versions_are_filled(spark):
     assert found == [(4, 4), (4, 1), (4, 1), (4, 1), (4, 1), (2, 3)]
 
 
+def test_token_numbers_keep_order_and_counts(spark):
+    from storelab.operators.stages import TokenNumbers
+    rows = [(1, ["b c", "a", "b c"]), (2, []), (3, None), (4, ["a b"]), (4, ["a b"])]
+    got = TokenNumbers().transform(spark.createDataFrame(rows, "i int, tokens array<string>")).collect()
+    assert sorted((r.i, sorted(r.tokens)) for r in got) == [(1, [0, 2, 2]), (2, []), (3, []), (4, [1]), (4, [1])]
+
+
 def test_search_does_unfitted_first_steps_once_and_branches_side_by_side(spark, monkeypatch):
     import threading
     from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -216,3 +223,17 @@ def test_search_does_unfitted_first_steps_once_and_branches_side_by_side(spark,
                        ("vector", VectorAssembler(inputCols=["a", "b"], outputCol="features")), ("model", models.classifier(dict(kind="tree"))[0])]
     found, fits = tuning.search_steps(df, steps, [dict(i=0), dict(i=1)], 1)
     assert found.count() == 4 and fits == 7 and done == [1]
+
+
+def test_text_search_on_numbers_scores_as_on_tokens(spark):
+    from storelab.operators.stages import TokenNumbers, WordGrams
+    text = ["red apple pie today", "green apple tart today", "fast blue car race", "slow blue car park", "", "red apple tart"]
+    df = spark.createDataFrame([(text[i % 6] + f" word{i % 5} end", float(i % 6 in (2, 3)), 1 + i % 7 // 4) for i in range(42)],
+                               "text string, label double, fold int")
+    candidates = [dict(kind="sgd", loss="hinge", alpha=0.0001), dict(kind="knn", k=3, weights="distance")]
+    scores = []
+    for more in ([], [("numbers", TokenNumbers())]):
+        steps = lambda c: [("grams", WordGrams()), *more, *[(f"{i} {c}", s) for i, s in enumerate(models.text_classifier(c, dict(minDF=0.0)))]]
+        found, _ = tuning.search_steps(df, steps, candidates, 1)
+        scores.append(sorted(map(str, found.select("candidate", "split", "f1_weighted", "accuracy").collect())))
+    assert scores[0] == scores[1] and len(scores[0]) == 4
