@@ -205,6 +205,6 @@ def tfidf_dense(spark, sf_dir):
     """TF-IDF over a limited vocabulary as an array."""
     docs = labelled_documents(spark, sf_dir)
     model = Pipeline(stages=[TfIdf(minDF=0.25, maxDF=0.75)]).fit(docs)
-    return model.transform(docs).select(
+    return model.transform(docs.select("doc_id", "tokens")).select(
         "doc_id", F.array_join(F.transform(vector_to_array("features"), lambda v: F.round(v, 6).cast("string")), " ")
         .alias("weights"))

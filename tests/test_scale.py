@@ -124,3 +124,24 @@ def test_tfidf_counts_once(spark):
     plan = text.tfidf(counts, docs, "id", 0.25, 0.75)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
     assert text.tfidf(counts, docs, "id", 0.25, 0.75).count() == 6
+
+
+def test_stems_of_frequent_and_rare_words_agree(spark):
+    """Rare words are joined, frequent ones sent to the rows; stop words, repeated keys and empty texts as before."""
+    rows = [(i, f"the cats run running apples{i} w{i % 3} w{i % 3}") for i in range(30)] + [(3, "the cat ponies"), (40, ""), (41, None)]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    near, far = [text.stemmed_words(docs, "id", "text", broadcast_rows=n).groupBy("id", "token").agg(F.sum("tf").alias("tf")) for n in (1000, 3)]
+    found = sorted(map(tuple, near.collect()))
+    assert found == sorted(map(tuple, far.collect())) == sorted(map(tuple, text.stemmed_counts(docs, "id", "text").collect()))
+    assert {t: n for i, t, n in found if i == 3} == {"cat": 2, "run": 2, "apples3": 1, "w0": 2, "poni": 1}
+    plan = text.stemmed_documents(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" not in plan  # no occurrence of a frequent word is shuffled by its word
+
+
+def test_arrays_are_worked_out_once(spark):
+    """An inner explode adds a filter that works the tokens out again."""
+    docs = spark.createDataFrame([(1, "a b b"), (2, ""), (3, None)], "id int, text string")
+    for df in (text.term_counts(docs, "id", text.words(F.col("text"))), text.vocabulary(docs, "text")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
+    assert sorted(map(tuple, text.term_counts(docs, "id", text.words(F.col("text"))).collect())) == [(1, "a", 1), (1, "b", 2)]
