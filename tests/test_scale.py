@@ -145,3 +145,18 @@ def test_arrays_are_worked_out_once(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all") == 1
     assert sorted(map(tuple, text.term_counts(docs, "id", text.words(F.col("text"))).collect())) == [(1, "a", 1), (1, "b", 2)]
+
+
+def test_learning_table_reads_listings_once(spark, sf_dir):
+    """All statistics and the rows come from one pass over the joined listings; texts only where asked for."""
+    from storelab.plans import tables
+    from storelab.plans.registry import AS_OF
+    from storelab.sources.apps import apps
+    raw, n = apps(spark, sf_dir, tables.LEARN_SOURCE), spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (n.add(1), x)[1], "string")
+    rows = raw.count()
+    listed = raw.withColumn("requiredAndroidVersion", seen("requiredAndroidVersion"))
+    full = tables.learn_table(listed, AS_OF)
+    numbers = tables.learn_table(raw, AS_OF, with_text=False)
+    assert sorted(map(str, full.drop("text").collect())) == sorted(map(str, numbers.collect()))
+    assert 0 < n.value <= rows and "text" in full.columns and "text" not in numbers.columns
