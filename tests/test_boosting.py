@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from storelab.operators import boosting
@@ -90,3 +91,43 @@ def test_estimator(spark, data):
     assert one.transform(df).where("prediction <> 1").count() == 0
     with pytest.raises(ValueError, match="label"):
         pipeline(dict(kind="gbt"), ["a"]).fit(df.where("label > 7"))
+
+
+def test_every_row_is_fitted(spark):
+    """More rows than one task bins are all read, for the same model as in one task, whatever the partitions."""
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.integers(0, 2, (900, 9)), rng.random((900, 2)).round(3)].astype(float)
+    y = ((x[:, 0] + 3 * x[:, 9] + 2 * x[:, 10]) // 1.5 % 3).astype(float)
+    rows = [(*map(float, v), float(c)) for v, c in zip(x, y)] + [(*([0.5] * 11), None)]
+    names = [f"x{i}" for i in range(11)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "label"]))
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    whole = boosting.SoftmaxBoosting(trees=6, depth=3).fit(ready).arrays()
+    for parts in (2, 7):
+        far = boosting.SoftmaxBoosting(trees=6, depth=3, fitRows=100).fit(ready.repartition(parts)).arrays()
+        assert all(np.allclose(whole[k], far[k]) for k in whole)
+
+
+def test_blocks_and_packs_give_the_same_sums(monkeypatch):
+    """Few rows and many rows are summed in other ways, with equal counts and sums of all features."""
+    rng = np.random.default_rng(8)
+    widths = [2, 2, 1, 5, 200, 2, 3, 2, 2, 2, 2, 2]
+    columns = np.array([np.r_[np.arange(w), rng.integers(0, w, 700 - w)] for w in widths], np.uint8)
+    node, target = rng.integers(0, 4, 700), rng.normal(size=700)
+    found = []
+    for few, block in ((1000, 64), (0, 64), (0, 10_000)):
+        monkeypatch.setattr(boosting, "FEW_ROWS", few)
+        monkeypatch.setattr(boosting, "BLOCK", block)
+        data = boosting.Binned(columns, widths)
+        found.append([(list(own), w, count, total) for nodes in (1, 4) for own, w, count, total in data.sums(node % nodes, target, nodes)])
+    for other in found[1:]:
+        for (own, w, count, total), (own2, w2, count2, total2) in zip(found[0], other, strict=True):
+            assert own == own2 and w == w2 and (count == count2).all() and np.allclose(total, total2)
+
+
+def test_borders_from_counts():
+    rng = np.random.default_rng(5)
+    for column in (rng.integers(0, 40, 500).astype(float), rng.random(700), np.r_[np.zeros(300), rng.random(99)]):
+        values, counts = np.unique(column, return_counts=True)
+        for bins in (7, 16, 255):
+            assert (boosting.counted_borders(values, counts, bins) == boosting.borders(column[:, None], bins)[0]).all()
