@@ -5,10 +5,12 @@ from itertools import combinations
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from storelab.operators import models
+from storelab.operators import models, pairwise
+from storelab.operators.linear import sparse_rows
 from storelab.operators.pairwise import PairwiseMargins, votes
 from storelab.session import cut, scratch_path
 
@@ -100,3 +102,22 @@ def test_stored_and_seeded(spark, points):
     again = PipelineModel.load(path).transform(points).select("id", "prediction")
     assert again.exceptAll(model.transform(points).select("id", "prediction")).count() == 0
     assert model.transform(points).where(F.col("prediction").isNull()).count() == 0
+
+
+def test_no_row_is_left_out(spark, monkeypatch):
+    """A model has one dual weight for each labelled row of its classes, however many there are."""
+    monkeypatch.setattr(pairwise, "fit_pair", lambda rows, size, sign, **_: (np.array([len(sign), sign.sum(), rows[2].sum()]), [[0.0, 0.0]]))
+    df = spark.range(230_000).select((F.col("id") % 2).cast("double").alias("label"),
+                                     array_to_vector(F.array(F.lit(1.0), F.lit(0.0))).alias("features"))
+    (weights, _), = PairwiseMargins().fit(df).pairs()
+    assert weights.tolist() == [230_000, 0, 230_000]
+
+
+def test_entries_of_vectors(spark):
+    """Dense and sparse vectors give the same entries; zeros and empty vectors give none."""
+    rows = [(Vectors.dense([0.0, 2.0, 3.0]),), (Vectors.sparse(3, [0, 2], [0.0, 5.0]),), (Vectors.sparse(3, [], []),), (Vectors.dense([1.0, 0.0, 0.0]),)]
+    table = spark.createDataFrame(rows, ["x"]).coalesce(1).toArrow()
+    for column in (table.column("x"), table.column("x").combine_chunks(), table.slice(1, 2).column("x")):
+        bounds, places, values = sparse_rows(column)
+        found = [dict(zip(places[a:b].tolist(), values[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:])]
+        assert found == ([{1: 2.0, 2: 3.0}, {2: 5.0}, {}, {0: 1.0}] if len(column) == 4 else [{2: 5.0}, {}])
