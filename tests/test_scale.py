@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storelab.operators import knn, models, terms, text, tuning
+from storelab.operators import knn, lookup, models, terms, text, tuning
 from storelab.operators.table_model import ROW, numbered
 
 
@@ -23,6 +23,17 @@ def test_tokens_counted_inside_rows(spark):
         assert (found[i] and [tuple(x) for x in found[i]]) == (want or found[i])
 
 
+def test_join_groups_gathers_no_copies(spark, monkeypatch):
+    """Copies of many groups go to the rows by a shuffle, however small their table is on disk."""
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 100)
+    rows = spark.range(2_000).select((F.col("id") % 500).alias("k"), "id")
+    groups = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("m"))
+    for how in ("inner", "left", "left_semi"):
+        found = lookup.join_groups(rows, groups, "k", how)
+        assert found.count() == (2_000 if how == "left" else 1_600)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_join_terms_sends_rare_terms_once(spark, monkeypatch):
     """Beyond what is broadcast, copies are made of frequent terms alone, and no row is lost."""
     monkeypatch.setattr(terms, "POSTING_ROWS", 10)
