@@ -92,6 +92,16 @@ def test_searches_share_fits(spark):
     assert sorted(map(str, found.select(*keys).collect())) == sorted(map(str, plain.select(*keys).collect()))
 
 
+def test_grid_search_has_ten_folds(spark, sf_dir, monkeypatch):
+    """Each candidate is scored on all ten folds, which hold every row of the table once."""
+    seen = []
+    plain = tuning.search
+    monkeypatch.setattr(tuning, "search", lambda df, *a: seen.append(df) or plain(df, *a))
+    assert [r.folds for r in q.grid_search(spark, sf_dir).collect()] == [10] * 4
+    sizes = [r["count"] for r in seen[0].groupBy("fold").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == q.number_table(spark, sf_dir).count() and max(sizes) - min(sizes) <= 4
+
+
 def test_rows_without_stars_stay(spark, report):
     """Only rows without a text or a price go; repeated ids give the same folds twice."""
     n = report.where("text is not null and price is not null and price_range_index is not null").count()
